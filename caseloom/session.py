@@ -64,3 +64,14 @@ def written_table(df: DataFrame, name: str, schema=None) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    """Partitions for exchanges whose rows are few but costly; adaptive merging goes by bytes only."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that is stored in fewer pieces. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
