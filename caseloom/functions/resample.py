@@ -7,6 +7,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @lru_cache(maxsize=256)
@@ -24,7 +25,7 @@ def resize_frame(frame: np.ndarray, new_h: int, new_w: int) -> np.ndarray:
     return triangle_weights(frame.shape[0], new_h) @ frame @ triangle_weights(frame.shape[1], new_w).T
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def letterboxed(pixels: pd.Series, h: pd.Series, w: pd.Series, size: pd.Series, box: pd.DataFrame) -> pd.Series:
     """Frames (flat, row by row) resized to box (new_h, new_w) and centred on a zero square."""
     out = []
