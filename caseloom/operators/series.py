@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import along_normal, plane_from_orientation, vector_or_null
 from ..schema import PLANES, TYPICAL_SLICES
+from ..session import checkpoint
 from .prefix import row_numbers
 
 SERIES = ["case_id", "series_id"]
@@ -110,16 +111,16 @@ def ordered_and_dropped(headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = majority_size(good).withColumnRenamed("rows", "_r").withColumnRenamed("cols", "_c")
     sized = good.join(size, SERIES).withColumn("_fits", (F.col("rows") == F.col("_r")) & (F.col("cols") == F.col("_c")))
     kept = with_sort_key(sized.filter("_fits").drop("_r", "_c", "_fits"))
-    place = kept.withColumn("_at", F.bround("key", 3))
+    # The steps below each read the keyed slices more than once, so they are fixed here.
+    place = checkpoint(kept.withColumn("_at", F.bround("key", 3)))
     # The first slice at a key, by (key, path): an aggregate, so a key may repeat any number of times.
     first = place.filter("_at is not null").groupBy(*SERIES, "_at").agg(F.min(F.struct("key", "path"))["path"].alias("_keep"))
     place = place.join(first, [*SERIES, "_at"], "left")
     repeated = F.col("_at").isNotNull() & (F.col("path") != F.col("_keep")) & F.col("position").isNotNull()
     unique = place.filter(~repeated).drop("_at", "_keep")
-    plane = unique.groupBy(*SERIES).agg(F.min_by(
-        "orientation", F.when(F.col("orientation").isNotNull(), F.struct("key", "path"))).alias("_o"))
-    ordered = row_numbers(unique, SERIES, [F.col("key"), F.col("path")], "slice_idx").join(plane, SERIES) \
-        .withColumn("inferred_plane", plane_from_orientation(F.col("_o"))).drop("_o")
+    numbered = row_numbers(unique, SERIES, [F.col("key"), F.col("path")], "slice_idx")
+    plane = numbered.filter("orientation is not null").groupBy(*SERIES).agg(F.min_by("orientation", "slice_idx").alias("_o"))
+    ordered = numbered.join(plane, SERIES, "left").withColumn("inferred_plane", plane_from_orientation(F.col("_o"))).drop("_o")
     reasons = {
         "bad_header": headers.filter(~readable).groupBy(*SERIES).agg(F.count("*").alias("n")),
         "off_size": sized.filter(~F.col("_fits")).groupBy(*SERIES).agg(F.count("*").alias("n")),

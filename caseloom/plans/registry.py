@@ -188,7 +188,7 @@ def translated_reports(spark, sf):
 def tfidf_vocabulary(spark, sf):
     """Vocabulary per block and term length: terms, cases, occurrences, idf."""
     texts = text.with_folded(v.documents(spark, sf), "report")
-    counts = checkpoint(tfidf.term_counts(texts))
+    counts = tfidf.term_counts(texts)
     vocabulary = tfidf.fit_vocabulary(counts, texts.count())
     stats = counts.join(F.broadcast(vocabulary.table), ["block", "term"])  # at most 300,000 terms
     return stats.groupBy("block", F.length("term").alias("n")).agg(
@@ -200,7 +200,7 @@ def tfidf_vocabulary(spark, sf):
 def tfidf_weights(spark, sf):
     """Per case: number of weighted terms, their sum, and the squared length (one per block)."""
     texts = text.with_folded(v.documents(spark, sf), "report")
-    counts = checkpoint(tfidf.term_counts(texts))
+    counts = tfidf.term_counts(texts)
     weights = tfidf.weighted_terms(counts, tfidf.fit_vocabulary(counts, texts.count()))
     return weights.groupBy("case_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight_sum"),
                                           F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squared"))
@@ -214,7 +214,7 @@ def text_heads(spark, sf):
     hits = rules.rule_features(rules.find_hits(texts, v.DOCUMENT_RULES), v.DOCUMENT_RULES)
     truth = checkpoint(labels.truth(cases, v.DOC_LABELS))
     known = truth.filter("y is not null").select("case_id").distinct()
-    counts = checkpoint(tfidf.term_counts(texts))
+    counts = tfidf.term_counts(texts)
     vocabulary = tfidf.fit_vocabulary(counts.join(known, "case_id", "left_semi"), known.count())
     vectors = tfidf.feature_vectors(texts, counts, vocabulary, hits)
     return predict(vectors, fit_heads(vectors, truth, v.DOC_LABELS, max_iter=20))
