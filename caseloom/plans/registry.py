@@ -190,10 +190,9 @@ def tfidf_vocabulary(spark, sf):
     texts = text.with_folded(v.documents(spark, sf), "report")
     counts = tfidf.term_counts(texts)
     vocabulary = tfidf.fit_vocabulary(counts, texts.count())
-    stats = counts.join(F.broadcast(vocabulary.table), ["block", "term"])  # at most 300,000 terms
-    return stats.groupBy("block", F.length("term").alias("n")).agg(
-        F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.sum("tf").alias("occurrences"),
-        F.round(F.sum("idf"), 2).alias("idf_sum"))
+    return vocabulary.table.groupBy("block", F.length("term").alias("n")).agg(
+        F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("total").alias("occurrences"),
+        F.round(F.sum(F.col("idf") * F.col("df")), 2).alias("idf_sum"))
 
 
 @query
