@@ -21,7 +21,7 @@ def rank_normalize(predictions: DataFrame) -> DataFrame:
     keys = ["source", "label"]
     ties = predictions.groupBy(*keys, "p").agg(F.count("*").alias("n"))
     placed = running_totals(ties, keys, [F.col("p")], {"below": F.col("n")})
-    size = ties.groupBy(*keys).agg(F.sum("n").alias("size"))
+    size = placed.groupBy(*keys).agg(F.sum("n").alias("size"))
     rank = (F.col("below") + (F.col("n") + 1) / 2) / F.col("size")
     ranks = placed.join(size, keys).select(*keys, "p", rank.alias("rank"))
     return predictions.join(ranks, [*keys, "p"]).select("source", "case_id", "label", F.col("rank").alias("p"))
@@ -180,9 +180,10 @@ def assemble_result(cases: DataFrame, blended: DataFrame, labels: list[str]) ->
     Cases without a prediction get the column mean (0.5 if nothing was predicted at all); values are
     limited to [0, 1]. `cases` may carry further columns such as a row index; they are kept.
     """
-    fill = blended.agg(*[F.avg(F.when(F.col("label") == l, F.col("p"))).alias(f"_m{i}") for i, l in enumerate(labels)])
+    # One mean per label comes to the driver and goes into the plan as a constant.
+    mean = {r["label"]: r["m"] for r in blended.groupBy("label").agg(F.avg("p").alias("m")).collect()}
     wide = blended.groupBy("case_id").agg(*[
         F.max(F.when(F.col("label") == l, F.col("p"))).alias(f"_p{i}") for i, l in enumerate(labels)])
-    joined = cases.join(wide, "case_id", "left").join(F.broadcast(fill))  # fill is one row by construction
-    value = lambda i: clip(F.coalesce(f"_p{i}", f"_m{i}", F.lit(0.5)))
-    return joined.select(*cases.columns, *[value(i).alias(l) for i, l in enumerate(labels)])
+    fill = [mean.get(l) if mean.get(l) is not None else 0.5 for l in labels]
+    return cases.join(wide, "case_id", "left").select(
+        *cases.columns, *[clip(F.coalesce(f"_p{i}", F.lit(fill[i]))).alias(l) for i, l in enumerate(labels)])

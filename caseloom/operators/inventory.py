@@ -40,7 +40,8 @@ def summary(table: DataFrame, log: DataFrame, stored_bytes: DataFrame, planes: t
     series = log.agg(F.count_if(F.col("error").isNull()).alias("n_series_cached"),
                      F.count("error").alias("n_series_failed"))
     size = stored_bytes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("cache_bytes"))
-    return cases.join(F.broadcast(series)).join(F.broadcast(size))  # one row each
+    one = cases.unionByName(series, True).unionByName(size, True)  # three rows, each with its own columns
+    return one.agg(*[F.max(c).alias(c) for c in one.columns])
 
 
 def decode_report(files: DataFrame) -> DataFrame:

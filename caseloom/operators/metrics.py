@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import RANGE, running_totals
+from .prefix import RANGE, running_totals, with_ranges
 
 
 def histogram(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,7 +28,10 @@ def auc(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def auc_of_histogram(hist: DataFrame, keys: list[str]) -> DataFrame:
     """Mid-rank AUC. Each score range counts its own pairs; pairs across ranges follow from range totals."""
-    ranged = hist.repartitionByRange(*keys, "p").withColumn(RANGE, F.spark_partition_id())
+    return _auc_of_ranges(hist.repartitionByRange(*keys, "p").withColumn(RANGE, F.spark_partition_id()), keys)
+
+
+def _auc_of_ranges(ranged: DataFrame, keys: list[str]) -> DataFrame:
     below = Window.partitionBy(*keys, RANGE).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     pairs = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
     parts = ranged.withColumn("won", pairs).groupBy(*keys, RANGE).agg(
@@ -52,7 +55,7 @@ def label_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, positives, auc, ap, f1_at_half, best_f1) from one pass over the score curve."""
     hist = histogram(scored, keys)
     curve = running_totals(hist, keys, [F.col("p").desc()], {"tp0": F.col("pos"), "fp0": F.col("neg")})
-    size = hist.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    size = curve.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     curve = curve.join(size, keys).withColumns({"tp": F.col("tp0") + F.col("pos"), "fp": F.col("fp0") + F.col("neg")})
     tp, fp, n_pos, n_neg = F.col("tp"), F.col("fp"), F.col("n_pos"), F.col("n_neg")
     half = F.col("p") >= 0.5
@@ -117,12 +120,14 @@ def bootstrap_auc(scored: DataFrame, keys: list[str], replicates: int = 200, see
     The number of rows in a resample varies around n instead of being n, so bounds agree with a
     fixed-size bootstrap statistically, not digit by digit. Single-class resamples are left out.
     """
-    cells = histogram(scored, keys).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    # Cells move before they multiply: one task holds a score range, and all its replicates stay there.
+    cells = with_ranges(histogram(scored, keys), keys, [F.col("p")]).repartition(RANGE)
+    cells = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     who = [*[F.col(k) for k in keys], F.col("p"), F.col("rep")]
-    drawn = cells.select(*keys, "rep", "p", poisson_weight(F.col("pos"), *who, F.lit(1), seed=seed).alias("pos"),
+    drawn = cells.select(*keys, "rep", "p", RANGE, poisson_weight(F.col("pos"), *who, F.lit(1), seed=seed).alias("pos"),
                          poisson_weight(F.col("neg"), *who, F.lit(0), seed=seed).alias("neg"))
     # Empty cells weigh nothing in any resample.
-    per_rep = auc_of_histogram(drawn.filter("pos + neg > 0"), [*keys, "rep"])
+    per_rep = _auc_of_ranges(drawn.filter("pos + neg > 0"), [*keys, "rep"])
     bounds = F.percentile("auc", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return per_rep.groupBy(*keys).agg(bounds.alias("b")).select(
         *keys, F.col("b")[0].alias("ci_low"), F.col("b")[1].alias("ci_high"))

@@ -16,7 +16,7 @@ from ..functions.resample import letterboxed
 from .prefix import row_numbers, running_totals, sample_cases, seeded_order
 
 VOLUME = ["case_id", "series_id"]
-CHUNK = 2048
+CHUNK = 256  # slices a window task holds at once
 
 # Percentile windows by name.
 WINDOWS = {
