@@ -14,12 +14,6 @@ def known_label(value: Column) -> Column:
     return F.when(number.isin(0.0, 1.0), number)
 
 
-def finite(value: Column) -> Column:
-    """The number, or NULL for text, NaN and infinity. NaN must not pass: Spark sorts it as the maximum."""
-    number = value.try_cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
-
-
 def is_finite(value: Column) -> Column:
     return F.coalesce(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False))
 
