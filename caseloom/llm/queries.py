@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, transport
+from . import chosenpath, langid, lines, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -44,3 +44,9 @@ def op7_language(spark, sf):
     model = langid.fit(docs.filter(remainder(4) != 2))
     return docs.select("doc_id", held_out.alias("held_out"), langid.predicted(model, docs).alias("p")).select(
         "doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+@query
+def op9_chosen_path(spark, sf):
+    out = chosenpath.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), size=3, num=85, den=100)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")

@@ -19,3 +19,29 @@ kept as (
   from keyed left join repeated r using (key) group by rid)
 select doc_id, n_lines, n_dropped, sha256(coalesce(kept.text, '')) as kept_sha256
 from docs join kept using (rid)"""
+
+SHINGLED = f"""
+docs as (select row_number() over () as rid, doc_id,
+         regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+shingled as (
+  select rid, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < %d then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - %d), lambda i: array_to_string(w[i:i + %d], ' ')) end) as s from docs)"""
+
+
+def near_duplicate_sql(size: int, num: int, den: int) -> str:
+    """doc_id, n_shingles, component_id and kept of every row, by all pairs that share a shingle."""
+    return f"""
+with recursive {SHINGLED % (size, size - 2, size - 1)},
+one as (select rid, len(s) as n, unnest(s) as sh from shingled),
+common as (
+  select a.rid as a, b.rid as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k
+  from one a join one b on a.sh = b.sh and a.rid < b.rid group by 1, 2),
+links as (select a, b from common where {den} * k >= {num} * (na + nb - k)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select rid as a, rid as b from docs union select reach.a, l.b from reach join both_ways l on l.a = reach.b),
+component as (select reach.a as rid, min(d.doc_id) as component_id from reach join docs d on d.rid = reach.b group by 1)
+select s.doc_id, len(s.s) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
+from shingled s join component c using (rid)"""
+
+
+SQL["op9_chosen_path"] = near_duplicate_sql(3, 85, 100)
