@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosenpath, langid, lines, transport
+from . import bpe, chosenpath, langid, lines, packing, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,6 +26,19 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def word_bpe() -> str:
+    """The vocabulary file of the queries; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_bpe(spark, sf):
+    path = word_bpe()
+    return bpe.digests(bpe.encode(table(spark, sf, "documents"), path), path)
+
+
 @query
 def op3_line_dedup(spark, sf):
     out = lines.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"), min_docs=10)
@@ -37,6 +50,11 @@ def op4_transport_stream(spark, sf):
     return transport.read(transport.store(table(spark, sf, "documents")))
 
 
+@query
+def op5_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), word_bpe())
+
+
 @query
 def op7_language(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
