@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosenpath, langid, lines, packing, transport
+from . import bpe, chosenpath, langid, lines, packing, toxicity, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -68,3 +68,12 @@ def op7_language(spark, sf):
 def op9_chosen_path(spark, sf):
     out = chosenpath.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), size=3, num=85, den=100)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op10_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").filter(remainder(5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(labels, docs)
+    return docs.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), toxicity.scored(model, docs).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
