@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosenpath, langid, lines, packing, toxicity, transport
+from . import bpe, chosenpath, langid, lines, logbilinear, packing, toxicity, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,6 +64,11 @@ def op7_language(spark, sf):
         "doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+@query
+def op8_log_bilinear(spark, sf):
+    return logbilinear.scores(table(spark, sf, "documents"), remainder(10) == 0, remainder(10) != 0)
+
+
 @query
 def op9_chosen_path(spark, sf):
     out = chosenpath.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), size=3, num=85, den=100)
