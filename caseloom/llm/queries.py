@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosenpath, langid, lines, logbilinear, packing, toxicity, transport
+from . import bpe, chosenpath, extract, langid, lines, logbilinear, packing, spotsigs, toxicity, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,6 +26,12 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+@query
+def op1_crf_text(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return extract.main_texts(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def word_bpe() -> str:
     """The vocabulary file of the queries; the operators take any path."""
     import public_tokenizers
@@ -55,6 +61,11 @@ def op5_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), word_bpe())
 
 
+@query
+def op6_spot_signatures(spark, sf):
+    return spotsigs.edited_likeness(table(spark, sf, "documents"))
+
+
 @query
 def op7_language(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
