@@ -282,3 +282,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"), "cid")
+
+
+def class_id(text, size: int):
+    """The class of a text column's shingle sets; null for a text without words."""
+    @F.arrow_udf("long")
+    def made(column: pa.Array) -> pa.Array:
+        return pa.array([set_id(s) if len(s) else None for at in range(0, len(column), 2000) for s in row_sets(column.slice(at, 2000), size)], pa.int64())
+
+    return made(text.cast("string"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """`docs` with one row of each component of `near_duplicates`: that of the smallest doc_id, null ids last.
+
+    Repeated rows are one component, of which one row stays. Rows without words all stay. Columns are those of `docs`.
+    """
+    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    join = Join(plain, size, num, den)
+    roots = join.classes.select("cid", "doc_id").join(join.roots(), F.col("cid") == F.col("node"), "left")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("cid"))
+    first = roots.groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min(order).alias("f")).select(F.col("f.cid").alias("own"), F.col("f.doc_id").alias("id"), F.lit(True).alias("kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), class_id(F.col(f"`{text}`"), size).alias("cid"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"))
+    joined = rows.join(first, (F.col("cid") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").filter("kept or cid is null")
+    # Repeated rows meet on the join's keys; rows without words keep apart by a number of their own.
+    apart = F.when(F.col("cid").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    one = joined.withColumn("apart", apart).dropDuplicates(["cid", "doc_id", "apart"])
+    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

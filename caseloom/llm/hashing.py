@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+MARKS = SPACE.copy()  # white space, control characters and ASCII punctuation
+MARKS[[i for i in range(128) if not chr(i).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
@@ -80,12 +82,12 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def word_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words, which never cross rows."""
+def word_runs(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes outside `breaks`, which never cross rows."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    space = SPACE[data]
+    space = breaks[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     start = ~space
@@ -95,10 +97,10 @@ def word_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(start), np.flatnonzero(stop) + 1
 
 
-def word_hashes(column: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, seed: int = 0, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the offsets of the rows in them."""
     data, offsets = column_bytes(column)
-    starts, ends = word_runs(data, offsets)
+    starts, ends = word_runs(data, offsets, breaks)
     symbol = seeded(256, seed)[LOWER]
     hashes = run_hashes(lambda a, b: symbol[data[a:b]], starts, ends)
     return hashes, np.searchsorted(starts, offsets)

@@ -1,7 +1,8 @@
 """Document fingerprints by spot signatures.
 
-Where a common word (an anchor) stands, it forms a signature with the `CHAIN` content words that follow it. A
-fingerprint is the set of a text's signatures. Sets are put into classes by length: two sets of Jaccard similarity s or
+Where a common word (an anchor) stands, it forms a signature with the `CHAIN` content words that follow it. So that
+texts with few common words have signatures as well, every word whose hash is a multiple of `SPARSE` is an anchor too;
+it counts among the content words of others. Words are runs of letters, digits and non-ASCII symbols. A fingerprint is the set of a text's signatures. Sets are put into classes by length: two sets of Jaccard similarity s or
 more lie in the same class or in neighbouring ones, so others are never compared, and a comparison ends at once where
 the lengths alone keep the similarity below the least one asked for.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import partitions
-from .hashing import mix, shingle_hashes, seeded, word_hashes
+from .hashing import MARKS, mix, shingle_hashes, seeded, word_hashes
 
 # Common words of four languages.
 ANCHORS = tuple(
@@ -28,6 +29,7 @@ ANCHORS = tuple(
     "au de des du en est et la le les pas pour que qui sur un une "
     "con de del el en es la las los no para por que se su un una y".split())
 CHAIN = 2
+SPARSE = 6
 ROWS = 1000
 
 OUT = T.StructType([
@@ -41,12 +43,12 @@ def signatures(texts: list[str | None]) -> list[np.ndarray]:
 
     A text without an anchor that a whole chain follows has its words as signatures; one without words has none.
     """
-    words, offsets = word_hashes(pa.array(texts, pa.large_string()))
-    anchor = np.isin(words, word_hashes(pa.array(ANCHORS))[0])
+    words, offsets = word_hashes(pa.array(texts, pa.large_string()), breaks=MARKS)
+    common = np.isin(words, word_hashes(pa.array(ANCHORS), breaks=MARKS)[0])
     row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    content = np.flatnonzero(~anchor)
-    spots = np.flatnonzero(anchor)
-    first = np.searchsorted(content, spots)
+    content = np.flatnonzero(~common)
+    spots = np.flatnonzero(common | (words % np.uint64(SPARSE) == 0))
+    first = np.searchsorted(content, spots, "right")
     spots, first = spots[first + CHAIN <= len(content)], first[first + CHAIN <= len(content)]
     same = row[content[first + CHAIN - 1]] == row[spots] if len(spots) else np.zeros(0, bool)
     spots, first = spots[same], first[same]
