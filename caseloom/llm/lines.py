@@ -106,21 +106,23 @@ class LineRuns:
             level += 1
 
     def _compact(self, level: int) -> None:
-        merged, full = None, self.levels[level]
-        for table in full:
-            run = self.spark.table(table)
-            merged = run if merged is None else merged.unionByName(run)
+        full = self.levels[level]
         self.levels[level] = []
-        self._write(merged.repartition(self.buckets, "key").groupBy("key").agg(F.sum("n").alias("n")), level + 1)
+        self._write(self._merged([self.spark.table(t) for t in full]), level + 1)
         for table in full:
             self.spark.sql(f"DROP TABLE {table}")
 
     def settled(self) -> DataFrame:
         """The keys that at least `min_docs` documents have."""
+        return self._merged(self.runs()).filter(F.col("n") >= self.min_docs).select("key")
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """One row a key. The key is made anew, as Spark takes a union of bucketed scans for bucketed, which it is not."""
         merged = None
-        for run in self.runs():
+        for run in runs:
+            run = run.select(F.substring("key", 1, 16).alias("key"), "n")
             merged = run if merged is None else merged.unionByName(run)
-        return merged.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.min_docs).select("key")
+        return merged.repartition(self.buckets, "key").groupBy("key").agg(F.sum("n").alias("n"))
 
     def drop(self) -> None:
         for table in [t for level in self.levels for t in level]:
