@@ -6,10 +6,11 @@ down, selected by a hash of the node. A pair of similarity s keeps a token with
 child. Nodes of at most `LEAF` classes are compared exhaustively; larger ones branch on, and those left at `DEPTH` are
 compared block by block. `TREES` independent trees bring the chance of missing a pair at 0.85 below 1e-6.
 
-Two things keep groups of copies from costing their square. First every class is compared with the smallest class of its
-root nodes, which joins most groups. Then only nodes that hold more than one component go on, and in them only pairs
-of different components are compared: such a pair cannot be told from the result by any other link. Sketches only choose
-pairs, with a margin of five deviations and more; links are confirmed on the full sets.
+No pairs of a group of copies leave a task. First every class is compared with the smallest class of its root nodes,
+which joins many. Then only nodes that hold more than one component go on. Their sketches tell which classes may be
+linked with another component, and only those come back with their full sets. In a node, pairs of components not yet
+joined are then confirmed on the full sets, likeliest first, and a node hands on at most one link a class. Sketches only
+rule pairs out, with a margin of five deviations.
 
 Sets and shingles go by 64-bit hashes: two of n different sets share one with a chance of about n * n / 2**65.
 """
@@ -26,12 +27,14 @@ from ..session import partitions, written_table
 from .graph import components
 from .hashing import mix, seeded, shingle_hashes, word_hashes
 
-TREES, DEPTH, BRANCH, LEAF = 10, 8, 2, 32
-SKETCH = 64
-MARGIN = 0.3
+TREES, DEPTH, BRANCH, LEAF = 10, 6, 2, 4096
+SKETCH = 128
+MARGIN = 0.16
+TESTED = 32  # pairs confirmed at a time
 ROWS = 128  # documents sketched at a time, to stay in the cache
 
-_XOR, _ODD = seeded(SKETCH, 11), seeded(SKETCH, 12) | np.uint64(1)
+_XOR = (seeded(SKETCH, 11) >> np.uint64(32)).astype(np.uint32)
+_ODD = (seeded(SKETCH, 12) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def row_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -57,13 +60,13 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     out = np.empty((len(sets), SKETCH), np.uint32)
     for at in range(0, len(sets), ROWS):
         part = sets[at:at + ROWS]
-        values = np.concatenate(part)
+        values = (np.concatenate(part) >> np.uint64(32)).astype(np.uint32)
         starts = np.cumsum([0, *map(len, part[:-1])])
         held = np.empty_like(values)
         for j in range(SKETCH):
             np.bitwise_xor(values, _XOR[j], out=held)
             np.multiply(held, _ODD[j], out=held)
-            out[at:at + ROWS, j] = np.minimum.reduceat(held, starts) >> np.uint64(32)
+            out[at:at + ROWS, j] = np.minimum.reduceat(held, starts)
     return out
 
 
@@ -99,7 +102,7 @@ def _roots(parts):
         for tree in range(TREES):
             position = np.full(n, tree * SKETCH // TREES)
             key = _child(np.full(n, seeds[tree]), position, sketch[np.arange(n), position])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("cid")], ["key", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("cid"), part.column("comp")], ["key", "cid", "comp"])
 
 
 def _branches(parts):
@@ -110,42 +113,84 @@ def _branches(parts):
         for j in range(BRANCH):
             position = (mix(node + np.uint64(j + 1)) % np.uint64(SKETCH)).astype(np.int64)
             key = _child(node, position, sketch[np.arange(len(node)), position])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("cid")], ["key", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("cid"), part.column("comp")], ["key", "cid", "comp"])
 
 
-def _compare(least: float, ratio: float):
-    """Pairs of different components in each node whose sketches and sizes allow a link; rows come sorted by key."""
-    def pairs(key, cid, comp, n, sketch):
-        cuts = np.flatnonzero(np.diff(key)) + 1
+def _by_node(parts, columns: list[str], work):
+    """Calls `work` with the rows of whole nodes, as arrays; rows come sorted by key."""
+    held = None
+    for part in parts:
+        now = [part.column(c).to_numpy() for c in ("key", "cid", "comp", "n")] + [_sketch_rows(part.column("sketch"))]
+        now += [np.array([x.as_buffer() for x in part.column(c)], object) for c in columns]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if not len(now[0]):
+            continue
+        last = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
+        if last:
+            yield work(*[x[:last] for x in now])
+        held = [x[last:] for x in now]
+    if held is not None:
+        yield work(*held)
+
+
+def _node_bounds(key: np.ndarray) -> list[tuple[int, int]]:
+    cuts = (np.flatnonzero(np.diff(key)) + 1).tolist()
+    return [(a, b) for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True) if b - a > 1]
+
+
+def _active(least: float, ratio: float):
+    """The members of each node whose sketches and sizes allow a link with another component."""
+    def work(key, cid, comp, n, sketch):
+        found = np.zeros(len(key), bool)
+        for a, b in _node_bounds(key):
+            s, size, c, own = sketch[a:b], n[a:b], comp[a:b], found[a:b]
+            for i in range(b - a - 1):
+                other = np.flatnonzero((c[i + 1:] != c[i]) & (np.minimum(size[i + 1:], size[i]) >= ratio * np.maximum(size[i + 1:], size[i]))) + i + 1
+                near = other[(s[other] == s[i]).sum(1) >= least * SKETCH] if len(other) else other
+                if len(near):
+                    own[i] = True
+                    own[near] = True
+        return pa.RecordBatch.from_arrays([pa.array(x[found], pa.int64()) for x in (key, cid, comp)], ["key", "cid", "comp"])
+
+    return lambda parts: _by_node(parts, [], work)
+
+
+def _confirmed(least: float, num: int, den: int):
+    """Links that join the components of each node, confirmed on the full sets, at most one less than its members."""
+    def work(key, cid, comp, n, sketch, shingles):
         left, right = [], []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-            if b - a < 2:
-                continue
-            s, size, c = sketch[a:b], n[a:b], comp[a:b]
+        for a, b in _node_bounds(key):
+            _, root = np.unique(comp[a:b], return_inverse=True)
+            s, size, sets = sketch[a:b], n[a:b], [np.frombuffer(x, np.uint64) for x in shingles[a:b]]
             for i in range(b - a - 1):
-                near = (s[i + 1:] == s[i]).mean(1) >= least
-                near &= (c[i + 1:] != c[i]) & (np.minimum(size[i + 1:], size[i]) >= ratio * np.maximum(size[i + 1:], size[i]))
-                for j in np.flatnonzero(near).tolist():
-                    left.append(int(min(cid[a + i], cid[a + i + 1 + j])))
-                    right.append(int(max(cid[a + i], cid[a + i + 1 + j])))
+                other = np.flatnonzero((root[i + 1:] != root[i]) & (den * np.minimum(size[i + 1:], size[i]) >= num * np.maximum(size[i + 1:], size[i]))) + i + 1
+                if not len(other):
+                    continue
+                alike = (s[other] == s[i]).sum(1)
+                other = other[alike >= least * SKETCH][np.argsort(-alike[alike >= least * SKETCH], kind="stable")]
+                while len(other):
+                    some, other = other[:TESTED], other[TESTED:]
+                    some = some[root[some] != root[i]]
+                    if not len(some):
+                        continue
+                    both = _shared(sets[i], [sets[j] for j in some])
+                    for j, k in zip(some.tolist(), both.tolist(), strict=True):
+                        if root[j] != root[i] and den * k >= num * (size[i] + size[j] - k):
+                            left.append(int(cid[a + i]))
+                            right.append(int(cid[a + j]))
+                            root[root == root[j]] = root[i]
+                    other = other[root[other] != root[i]]
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    def run(parts):
-        held = None
-        for part in parts:
-            now = [part.column(c).to_numpy() for c in ("key", "cid", "comp", "n")] + [_sketch_rows(part.column("sketch"))]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if not len(now[0]):
-                continue
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
-            if last:
-                yield pairs(*[x[:last] for x in now])
-            held = [x[last:] for x in now]
-        if held is not None:
-            yield pairs(*held)
+    return lambda parts: _by_node(parts, ["shingles"], work)
 
-    return run
+
+def _shared(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """How many values a sorted set shares with each of many."""
+    flat = np.concatenate(many)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum([0, *[len(x) for x in many[:-1]]]))
 
 
 def _sets(size: int):
@@ -188,8 +233,9 @@ class Join:
         self.classes = written_table(self.signatures.filter("cid is not null").groupBy("cid").agg(
             F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
-    def nodes(self) -> DataFrame:
-        return written_table(self.classes.select("cid", "sketch").mapInArrow(_roots, "key long, cid long"), "nodes")
+    def nodes(self, classes: DataFrame) -> DataFrame:
+        """The root nodes of all trees (key, cid, comp); `classes` has the comp of each class."""
+        return written_table(classes.select("cid", "comp", "sketch").mapInArrow(_roots, "key long, cid long, comp long"), "nodes")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sketches and sizes allow a link."""
@@ -204,14 +250,17 @@ class Join:
         sides = sides.join(c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
         return sides.filter(F.least("na", "nb") >= ratio * F.greatest("na", "nb")).filter(close(a, b)).select("a", "b")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are links, confirmed on the full sets, which are made again from the texts that are needed."""
-        pairs = written_table(pairs.distinct(), "pairs")
-        need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.classes.select("cid", "doc_id"), "cid")
+    def sets(self, cids: DataFrame) -> DataFrame:
+        """(cid, shingles): the full sets of the classes `cids` (distinct), made again from one text of each."""
+        need = cids.join(self.classes.select("cid", "doc_id"), "cid")
         docs = self.docs.select("doc_id", "text")
         texts = docs.join(need.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(need["doc_id"])).select("cid", "text")
-        sets = texts.mapInArrow(_sets(self.size), "cid long, shingles binary")
-        sets = written_table(sets.dropDuplicates(["cid"]), "sets")
+        return written_table(texts.mapInArrow(_sets(self.size), "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are links, confirmed on the full sets."""
+        pairs = written_table(pairs.distinct(), "pairs")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
         sides = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
         sides = sides.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
         return written_table(sides.mapInArrow(_linked(self.num, self.den), "a long, b long"), "links")
@@ -221,37 +270,49 @@ class Join:
         least = nodes.groupBy("key").agg(F.min("cid").alias("b"), F.count("*").alias("m")).filter("m > 1").select("key", "b")
         return nodes.join(least, "key").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
 
-    def compared(self, members: DataFrame) -> DataFrame:
-        """Candidate pairs of the nodes (key, cid, comp), all of them small."""
-        rows = members.join(self.classes.select("cid", "n", "sketch"), "cid").select("key", "cid", "comp", "n", "sketch")
-        rows = rows.repartition(self.parts, "key").sortWithinPartitions("key")
-        return rows.mapInArrow(_compare(self.least, self.num / self.den), "a long, b long")
+    def grouped(self, members: DataFrame, *more: DataFrame) -> DataFrame:
+        """The members of nodes with their sketches and what `more` has of them, nodes whole and in order."""
+        rows = members.join(self.classes.select("cid", "n", "sketch"), "cid")
+        for table in more:
+            rows = rows.join(table, "cid")
+        return rows.repartition(self.parts, "key").sortWithinPartitions("key")
 
-    def tree_pairs(self, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-        """Candidate pairs of different components from all trees, level by level."""
+    def active(self, members: DataFrame) -> DataFrame:
+        """The members of small nodes (key, cid, comp) that may be linked with another component of theirs."""
+        rows = self.grouped(members).select("key", "cid", "comp", "n", "sketch")
+        return rows.mapInArrow(_active(self.least, self.num / self.den), "key long, cid long, comp long")
+
+    def tree_links(self, members: DataFrame) -> DataFrame:
+        """Links between components from all trees, level by level; `members` are the root nodes."""
         found = None
         for depth in range(1, DEPTH + 1):
-            members = nodes.join(roots, nodes["cid"] == roots["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
             sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
             contested = written_table(members.join(sizes.filter("low <> high").select("key", "m"), "key"), "contested")
-            pairs = self.compared(contested.filter(F.col("m") <= LEAF))
             large = contested.filter(F.col("m") > LEAF)
+            last = depth == DEPTH or large.isEmpty()
+            small = contested.filter(F.col("m") <= LEAF).select("key", "cid", "comp")
             if depth == DEPTH:
-                pairs = pairs.unionByName(self.compared(blocks(large)))
-            pairs = written_table(pairs.distinct(), "candidates")
-            found = pairs if found is None else found.unionByName(pairs)
-            if depth == DEPTH or large.isEmpty():
+                small = small.unionByName(blocks(large))
+            active = written_table(self.active(small), "active")
+            found = active if found is None else found.unionByName(active)
+            if last:
                 break
-            nodes = written_table(large.join(self.classes.select("cid", "sketch"), "cid").mapInArrow(_branches, "key long, cid long").distinct(), "nodes")
-        return found
+            rows = large.join(self.classes.select("cid", "sketch"), "cid")
+            members = written_table(rows.mapInArrow(_branches, "key long, cid long, comp long").distinct(), "nodes")
+        sets = self.sets(found.select("cid").distinct())
+        rows = self.grouped(found, sets).select("key", "cid", "comp", "n", "sketch", "shingles")
+        return written_table(rows.mapInArrow(_confirmed(self.least, self.num, self.den), "a long, b long").distinct(), "links")
 
     def roots(self) -> DataFrame:
         """(node, root) of all classes that are linked with another."""
-        nodes = self.nodes()
-        links = self.links(self.near(self.first_pairs(nodes)))
-        first = written_table(components(links), "roots")
-        more = self.links(self.tree_pairs(nodes, first))
-        return written_table(components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
+        alone = self.classes.withColumn("comp", F.col("cid"))
+        links = self.links(self.near(self.first_pairs(self.nodes(alone))))
+        # Components so far, as far as two steps tell: a class goes with the smallest it is linked to, and that one's.
+        step = links.groupBy("a").agg(F.min("b").alias("b"))
+        far = step.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("cid"), F.least("b", "c").alias("comp"))
+        named = self.classes.join(far, "cid", "left").select("cid", "sketch", F.coalesce("comp", "cid").alias("comp"))
+        more = self.tree_links(self.nodes(named))
+        return written_table(components(links.unionByName(more)), "roots")
 
 
 def blocks(large: DataFrame) -> DataFrame:

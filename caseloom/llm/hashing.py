@@ -43,7 +43,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept for the next call."""
     have = _tables.get("pow")
     if have is None or len(have) < n:
-        size = max(n, PIECE + 1)
+        size = 1 << max(16, (n - 1).bit_length())
         for name, base in (("pow", BASE), ("inv", pow(BASE, -1, 2**64))):
             table = np.full(size, base, np.uint64)
             table[0] = 1
