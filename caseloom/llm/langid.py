@@ -63,14 +63,9 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     before, here, after = symbol[:n], symbol[1:n + 1], symbol[2:n + 2]
     kept = here > 0
     a, b, c, owner = before[kept], here[kept], after[kept], owner[kept]
-    prime = np.uint64(0x9E3779B97F4A7C15)
-    out = []
-    if 1 in ORDERS:
-        out.append(b * prime)
-    if 2 in ORDERS:
-        out.append((a * np.uint64(0x1F123BB5) + b) * prime ^ np.uint64(0x5555))
-    if 3 in ORDERS:
-        out.append(((a * np.uint64(0x1F123BB5) + b) * np.uint64(0x2545F491) + c) * prime)
+    prime, far, near = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x1F123BB5), np.uint64(0x2545F491)
+    grams = {1: b, 2: a * far + b, 3: (a * far + b) * near + c}
+    out = [(grams[n] + np.uint64(n << 60)) * prime for n in ORDERS]
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     return np.concatenate([x >> shift for x in out]).astype(np.int64), np.tile(owner, len(out))
 
