@@ -17,14 +17,14 @@ STEP_GAIN = 1e-6
 
 
 def rank_normalize(predictions: DataFrame) -> DataFrame:
-    """p becomes its average rank within (source, label) as a fraction in (0, 1]; ties share a rank."""
+    """p becomes its average rank within (source, label) as a fraction in (0, 1]; ties share a rank, NULL stays NULL."""
     keys = ["source", "label"]
-    ties = predictions.groupBy(*keys, "p").agg(F.count("*").alias("n"))
+    ties = predictions.filter("p is not null").groupBy(*keys, "p").agg(F.count("*").alias("n"))
     placed = running_totals(ties, keys, [F.col("p")], {"below": F.col("n")})
     size = placed.groupBy(*keys).agg(F.sum("n").alias("size"))
     rank = (F.col("below") + (F.col("n") + 1) / 2) / F.col("size")
     ranks = placed.join(size, keys).select(*keys, "p", rank.alias("rank"))
-    return predictions.join(ranks, [*keys, "p"]).select("source", "case_id", "label", F.col("rank").alias("p"))
+    return predictions.join(ranks, [*keys, "p"], "left").select("source", "case_id", "label", F.col("rank").alias("p"))
 
 
 def common_cases(predictions: DataFrame, sources: list[str]) -> DataFrame:

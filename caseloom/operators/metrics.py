@@ -8,6 +8,7 @@ of all rows is a single row after map-side aggregation.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,14 +17,22 @@ from .prefix import RANGE, running_totals, with_ranges
 
 
 def histogram(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, p, pos, neg) over known cells; soft truth counts as positive from 0.5."""
-    return scored.filter("y is not null and p is not null").groupBy(*keys, "p").agg(
+    """(keys, p, pos, neg) over known cells with a score; soft truth counts as positive from 0.5."""
+    return scored.filter("y is not null and p is not null and not isnan(p)").groupBy(*keys, "p").agg(
         F.count_if(F.col("y") >= 0.5).alias("pos"), F.count_if(F.col("y") < 0.5).alias("neg"))
 
 
 def auc(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, positives, auc); NULL where only one class is known."""
-    return auc_of_histogram(histogram(scored, keys), keys)
+    """(keys, n, positives, auc) for all keys of `scored`; NULL where fewer than two classes are known."""
+    return for_all_keys(scored, keys, auc_of_histogram(histogram(scored, keys), keys), {"n": 0, "positives": 0})
+
+
+def for_all_keys(scored: DataFrame, keys: list[str], found: DataFrame, empty: dict[str, float]) -> DataFrame:
+    """`found` with a row for keys that have no known cell, which count as `empty`."""
+    found = found.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    out = scored.select(*keys).distinct().join(found, same, "left").drop(*[f"_{k}" for k in keys])
+    return out.fillna(empty)
 
 
 def auc_of_histogram(hist: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,12 +77,13 @@ def label_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.when(half, F.col("neg")).otherwise(0)).alias("fp_half"))
     both = (n_pos > 0) & (n_neg > 0)
     called = F.col("tp_half") + F.col("fp_half") + n_pos
-    return stats.select(
+    found = stats.select(
         *keys, (n_pos + n_neg).cast("long").alias("n"), n_pos.cast("long").alias("positives"),
         F.when(both, F.col("won") / (n_pos.cast("double") * n_neg)).alias("auc"),
         F.when(both, F.col("precision_sum") / n_pos).alias("ap"),
         F.when(called > 0, 2 * F.col("tp_half") / called).otherwise(0.0).alias("f1_at_half"),
         F.when(both, F.col("best_f1")).alias("best_f1"))
+    return for_all_keys(scored, keys, found, {"n": 0, "positives": 0, "f1_at_half": 0.0})
 
 
 def compare_sources(scored: DataFrame, sources: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +148,7 @@ def hardest_cases(scored: DataFrame, k: int = 5) -> DataFrame:
 
     The rank filter lets Spark keep only k rows per group and map task before the shuffle.
     """
-    known = scored.filter("y is not null and p is not null").select(
+    known = scored.filter("y is not null and p is not null and not isnan(p)").select(
         "label", "case_id", (F.col("y") >= 0.5).alias("positive"), "p")
     known = known.withColumn("hard", F.when(F.col("positive"), F.col("p")).otherwise(-F.col("p")))
     order = Window.partitionBy("label", "positive").orderBy("hard", "case_id")
@@ -154,13 +164,13 @@ def hardest_cases(scored: DataFrame, k: int = 5) -> DataFrame:
 
 def error_table(scored: DataFrame, top_k: int = 5, replicates: int = 200, seed: int = 0) -> DataFrame:
     """Per label: size, prevalence, AUC with interval, hardest cases (only where both classes occur)."""
-    base = auc(scored, ["label"])
+    base = auc(scored, ["label"])  # all labels, also those without a known cell
     ci = bootstrap_auc(scored, ["label"], replicates, seed)
     hard = hardest_cases(scored, top_k)
     both = F.col("auc").isNotNull()
     return base.join(ci, "label", "left").join(hard, "label", "left").select(
         "label", F.col("n").alias("n_labeled"), F.col("positives").alias("n_pos"),
-        (F.col("positives") / F.col("n")).alias("prevalence"), "auc",
+        (F.col("positives") / F.nullif("n", F.lit(0))).alias("prevalence"), "auc",
         F.when(both, F.col("ci_low")).alias("ci_low"), F.when(both, F.col("ci_high")).alias("ci_high"),
         F.when(both, F.col("hardest_fn")).otherwise("").alias("hardest_fn"),
         F.when(both, F.col("hardest_fp")).otherwise("").alias("hardest_fp"))

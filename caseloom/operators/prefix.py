@@ -35,7 +35,10 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column], sums: di
     # The first range of a group has nothing before it; every other row starts a new partition.
     offsets = offsets.filter(reduce(lambda a, b: a | b, [F.col(f"_o_{n}").isNotNull() for n in sums]))
     local = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(offsets), [*keys, RANGE], "left")
+    # A NULL key is a group like any other.
+    offsets = offsets.withColumnsRenamed({k: f"_k_{k}" for k in [*keys, RANGE]})
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_k_{k}`")) for k in [*keys, RANGE]])
+    joined = ranged.join(F.broadcast(offsets), same, "left")
     return joined.select(*[f"`{c}`" for c in df.columns], *[
         (F.coalesce(F.sum(c).over(local), F.lit(0)) + F.coalesce(f"_o_{n}", F.lit(0))).alias(n)
         for n, c in sums.items()])

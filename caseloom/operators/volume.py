@@ -6,9 +6,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import is_selected, letterbox
 from ..functions.numeric import clip
@@ -49,6 +53,11 @@ def normalise_frames(frames: DataFrame) -> DataFrame:
     df = frames.withColumn("_v", F.when(F.col("channels") >= 3, grey).otherwise(plain))
     slope, intercept = F.coalesce(F.nullif("slope", F.lit(0.0)), F.lit(1.0)), F.coalesce("intercept", F.lit(0.0))
     df = df.withColumn("_v", F.transform("_v", lambda v: v * slope + intercept)).withColumn("_max", F.array_max("_v"))
+    if "path" in frames.columns:  # the frames of a file are inverted against the largest value of the file
+        file = [c for c in (*VOLUME, "path") if c in frames.columns]
+        peaks = df.filter("inverted").groupBy(*file).agg(F.max("_max").alias("_peak")).withColumnsRenamed({c: f"_f_{c}" for c in file})
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in file])
+        df = df.join(peaks, same, "left").withColumn("_max", F.coalesce("_peak", "_max")).drop("_peak", *[f"_f_{c}" for c in file])
     value = F.when(F.coalesce("inverted", F.lit(False)), F.transform("_v", lambda v: F.col("_max") - v)).otherwise(F.col("_v"))
     return df.withColumn("pixels", F.transform(value, lambda v: v.cast("float"))) \
         .drop("_v", "_max", "channels", "slope", "intercept", "inverted")
@@ -121,10 +130,9 @@ def resize(volume: DataFrame, size: int, keep_aspect: bool = True) -> DataFrame:
 
 def to_storage(volume: DataFrame, dtype: str = "uint8") -> DataFrame:
     """Add `stored`: BINARY of 0..255 rounded half to even, or the floats as they are."""
-    unit = F.transform("pixels", lambda v: clip(v.cast("double")))
     if dtype == "uint8":
-        digits = F.transform(unit, lambda v: F.lpad(F.hex(F.rint(v * 255).cast("int")), 2, "0"))
-        return volume.withColumn("stored", F.unhex(F.array_join(digits, "")))
+        return volume.withColumn("stored", _bytes_of(F.col("pixels").cast("array<double>")))
+    unit = F.transform("pixels", lambda v: clip(v.cast("double")))
     if dtype == "float":
         return volume.withColumn("stored", F.transform(unit, lambda v: v.cast("float")))
     raise ValueError(f"unsupported dtype {dtype!r}")
@@ -132,8 +140,21 @@ def to_storage(volume: DataFrame, dtype: str = "uint8") -> DataFrame:
 
 def from_storage(stored: Column) -> Column:
     """Stored bytes as floats in [0, 1]."""
-    return F.transform(F.sequence(F.lit(1), F.length(stored)), lambda i: (
-        F.conv(F.hex(F.substring(stored, i, F.lit(1))), 16, 10).cast("float") / 255.0).cast("float"))
+    return _floats_of(stored)
+
+
+@F.arrow_udf(T.BinaryType())
+def _bytes_of(pixels: pa.Array) -> pa.Array:
+    """Frames of values clipped to [0, 1] as bytes."""
+    flat = np.rint(np.nan_to_num(np.clip(pixels.flatten().to_numpy(zero_copy_only=False), 0, 1)) * 255).astype(np.uint8)
+    ends = np.concatenate([[0], np.cumsum(pixels.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    return pa.array([flat[a:b].tobytes() if ok else None for a, b, ok in zip(ends[:-1], ends[1:], pixels.is_valid().to_pylist())], pa.binary())
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _floats_of(stored: pa.Array) -> pa.Array:
+    """Stored bytes as floats."""
+    return pa.array([None if x is None else np.frombuffer(x, np.uint8).astype(np.float32) / np.float32(255) for x in stored.to_pylist()], pa.list_(pa.float32()))
 
 
 def preprocess(volume: DataFrame, config: PreprocessConfig = PreprocessConfig()) -> DataFrame:

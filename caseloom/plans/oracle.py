@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import ABBREVIATIONS, LIGATURES, STOPWORDS
-from .views import DOCUMENT_RULES
+from .views import DOCUMENT_RULES, KNEE_SENTENCES
 
 SQL: dict[str, str] = {}
 
@@ -37,7 +37,7 @@ preds as (
 
 SCORES = f"{ORDERS}, {PREDICTIONS}, scores as (select source, case_id, label, p, y from preds join truth using (case_id, label))"
 
-HISTOGRAM = f"""{SCORES},
+_CURVES = """
 hist as (
   select source, label, p, sum(case when y >= 0.5 then 1 else 0 end) as pos, sum(case when y < 0.5 then 1 else 0 end) as neg
   from scores where y is not null group by all),
@@ -56,6 +56,7 @@ auc as (
          coalesce(2.0::double * sum(case when p >= 0.5 then pos else 0 end)
            / nullif(sum(case when p >= 0.5 then pos + neg else 0 end) + max(np), 0), 0) as f1_at_half
   from curve group by source, label)"""
+HISTOGRAM = f"{SCORES}, {_CURVES}"
 
 LIGATED = "text"
 for _a, _b in LIGATURES.items():
@@ -259,22 +260,23 @@ SQL["duplicate_ids"] = "select l_orderkey as case_id, count(*) as n from lineite
 
 MERGED = f"""{ORDERS}, {PREDICTIONS},
 cells as (
-  select t.case_id, t.label, y, coalesce(y, greatest(0, least(1, p))) as v, abs(2 * coalesce(y, greatest(0, least(1, p))) - 1) as conf
-  from truth t join preds p on t.case_id = p.case_id and t.label = p.label and source = 'disc'),
+  select t.case_id, t.label, y, coalesce(y, case when p is not null then greatest(0, least(1, p)) end) as v,
+    abs(2 * coalesce(y, case when p is not null then greatest(0, least(1, p)) end) - 1) as conf
+  from truth t left join preds p on t.case_id = p.case_id and t.label = p.label and source = 'disc'),
 merged as (
   select case_id, max(case when label = 'filled' then v end) as filled, max(case when label = 'urgent' then v end) as urgent,
     max(case when label = 'filled' then (y is not null)::int end) as filled__true,
     max(case when label = 'urgent' then (y is not null)::int end) as urgent__true,
     case when count(y) = count(*) then 'true' when count(y) = 0 then 'pseudo' else 'mixed' end as label_source,
     avg(case when y is null then conf end) as pseudo_confidence,
-    avg(case when y is not null then 1.0 else 0.5 * conf end) as sample_weight from cells group by 1)"""
+    avg(case when y is not null then 1.0 else coalesce(0.5 * conf, 0) end) as sample_weight from cells group by 1)"""
 SQL["merged_labels"] = f"""with {MERGED}
 select case_id, round(filled, 6) as filled, round(urgent, 6) as urgent, filled__true, urgent__true, label_source,
   round(pseudo_confidence, 6) as pseudo_confidence, round(sample_weight, 6) as sample_weight from merged"""
 SQL["prevalence"] = f"""with {MERGED}
-select label, count(y) as true_n, round(avg(y), 6) as true_prevalence, count(*) - count(y) as pseudo_n,
+select label, count(y) as true_n, round(avg(y), 6) as true_prevalence, count(*) filter (y is null and v is not null) as pseudo_n,
   round(avg(case when y is null then v end), 6) as pseudo_mean_prob,
-  round(avg(case when y is null then (v >= 0.5)::int end), 6) as pseudo_prevalence_at_half from cells group by 1"""
+  round(avg(case when y is null and v is not null then (v >= 0.5)::int end), 6) as pseudo_prevalence_at_half from cells group by 1"""
 SQL["leakage_problems"] = f"""with {MERGED},
 damaged as (
   select case_id, case when cast(case_id as bigint) % 11 = 0 then 1.5 else filled end as filled, urgent, filled__true,
@@ -313,6 +315,14 @@ with t as (select cast(doc_id as varchar) as case_id, string_split(text, ' ') as
 c as (select case_id, case when len(t) <= 64 then t else list_concat(t[1:48], t[len(t) - 15:len(t)]) end as t from t)
 select case_id, len(t)::int as n_tokens, md5(array_to_string(t, ' ')) as digest from c"""
 SQL["rule_hits"] = f"with {HITS} select case_id, label, kind, count(*) as n from hits group by all"
+SQL["knee_findings"] = f"""with said(i, label, p) as (values {", ".join(
+    f"({i}, '{label.replace(chr(39), chr(39) * 2)}', {p}::double)" for i, (_, found) in enumerate(KNEE_SENTENCES) for label, p in found.items())}),
+picked as (
+  select o_orderkey as k, o_orderkey % {len(KNEE_SENTENCES)} as i from orders
+  union all select o_orderkey, (o_orderkey // 7) % {len(KNEE_SENTENCES)} from orders),
+scores as (select k, label, max(p) as p from picked join said using (i) group by all)
+select cast(k as varchar) as case_id, string_agg(label || '=' || case p when 1 then '1.0' else '0.5' end, ';' order by label) as found
+from scores group by 1"""
 SQL["rule_scores"] = f"""with {HITS}, s as (
   select case_id, label, max(case kind when 'affirmed' then 1.0 when 'uncertain' then 0.5 else 0.0 end)::double as v from hits group by all)
 select f.case_id, coalesce(max(case when label = 'quality' then v end), 0) as quality,
@@ -334,6 +344,14 @@ select case_id, count(*) as n_terms, round(sum(u), 6) as weight_sum, round(sum(u
 # ---- metrics ------------------------------------------------------------------------------------
 
 SQL["auc_per_label"] = f"with {HISTOGRAM} select source, label, n, positives, round(auc, 9) as auc from auc"
+SQL["metrics_all_labels"] = f"""with {SCORES.replace("scores as", "all_scores as")},
+cells as (
+  select source, label, case when not (source = 'tax' and label = 'urgent') then y end as y,
+    case when cast(case_id as bigint) % 10 > 1 then p end as p from all_scores),
+scores as (select * from cells where p is not null), {_CURVES}
+select k.source, k.label, coalesce(n, 0) as n, coalesce(positives, 0) as positives, round(auc, 6) as auc, round(ap, 6) as ap,
+  round(coalesce(f1_at_half, 0), 6) as f1_at_half, round(best_f1, 6) as best_f1
+from (select distinct source, label from cells) k left join auc using (source, label)"""
 SQL["macro_auc"] = f"with {HISTOGRAM} select source, round(avg(auc), 9) as macro_auc from auc group by 1"
 SQL["label_metrics"] = f"""with {HISTOGRAM}
 select source, label, n, positives, round(auc, 6) as auc, round(ap, 6) as ap, round(f1_at_half, 6) as f1_at_half,
@@ -389,6 +407,12 @@ rank0 as (
     count(*) over (partition by source, label) as n from preds),
 ranks as (select source, case_id, label, (r + (t - 1) / 2.0::double) / n as p from rank0)"""
 SQL["rank_normalized"] = f"with {RANKED} select source, case_id, label, round(p, 9) as p from ranks"
+SQL["rank_with_gaps"] = f"""with {PREDICTIONS},
+known as (
+  select *, rank() over (partition by source, label order by p) as r, count(*) over (partition by source, label, p) as t,
+    count(*) over (partition by source, label) as n from preds where cast(case_id as bigint) % 10 <> 0)
+select source, case_id, label, round((r + (t - 1) / 2.0::double) / n, 9) as p from known
+union all select source, case_id, label, null from preds where cast(case_id as bigint) % 10 = 0"""
 SQL["alignment"] = f"""with {PREDICTIONS}, seen as (select distinct source, case_id from preds),
 common as (select case_id from seen group by 1 having count(*) = 3)
 select source, count(*) as cases, count(c.case_id) as used from seen left join common c using (case_id) group by 1"""

@@ -46,6 +46,37 @@ def document_cases(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).join(truth, "case_id", "left")
 
 
+# Sentences of the knee reports, with the findings the rule book must see in them (1 affirmed, 0.5 uncertain).
+KNEE_SENTENCES = (
+    ("complete tear of the anterior cruciate ligament", {"ACL": 1.0}),
+    ("no rupture of the anterior cruciate ligament", {}),
+    ("possible sprain of the medial collateral ligament", {"MCL": 0.5}),
+    ("horizontal tear of the medial meniscus", {"Medial Meniscus": 1.0}),
+    ("the lateral meniscus shows a flap tear", {"Lateral Meniscus": 1.0}),
+    ("large joint effusion", {"Effusion": 1.0}),
+    ("without effusion", {}),
+    ("kein erguss", {}),
+    ("verdacht auf erguss", {"Effusion": 0.5}),
+    ("sinovitis", {"Synovitis": 1.0}),
+    ("small baker cyst", {"Baker's": 1.0}),
+    ("bone bruise", {"Contusion": 1.0}),
+    ("pas de fracture", {}),
+    ("fracture cannot be excluded", {"Fracture": 0.5}),
+    ("fraktur", {"Fracture": 1.0}),
+    ("unremarkable study", {}),
+)
+
+
+def knee_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sentences for every order: one by its key, one by a further digit of it."""
+    said = F.array(*[F.lit(s) for s, _ in KNEE_SENTENCES])
+    n = len(KNEE_SENTENCES)
+    pick = lambda key: F.element_at(said, (key % n + 1).cast("int"))
+    key = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(key.cast("string").alias("case_id"), F.concat(
+        pick(key), F.lit(".\n"), pick(F.floor(key / 7)), F.lit(".")).alias("report"))
+
+
 def orders(spark: SparkSession, sf: str) -> DataFrame:
     """Wide truth of the orders, unknown for partly filled ones and for medium priority."""
     status, priority = F.col("o_orderstatus"), F.left("o_orderpriority", F.lit(1)).cast("int")

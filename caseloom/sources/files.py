@@ -45,8 +45,8 @@ def decode_files(files: DataFrame, decoders: list[Decoder]) -> DataFrame:
     """One row per frame, or one failed row per undecodable file. Nothing a file holds can fail the job."""
     def run(batches):
         for pdf in batches:
-            rows = []
             for case_id, series_id, path, content in zip(pdf["case_id"], pdf["series_id"], pdf["path"], pdf["content"]):
+                rows = []
                 base = {"case_id": case_id, "series_id": series_id, "path": path, "transfer_syntax": "unknown",
                         "ok": False, "error": None, "frame": 0, "h": 0, "w": 0, "channels": 1, "slope": 1.0,
                         "intercept": 0.0, "inverted": False, "pixels": None}
@@ -65,6 +65,7 @@ def decode_files(files: DataFrame, decoders: list[Decoder]) -> DataFrame:
                                      "inverted": bool(got.get("inverted")), "pixels": frame.ravel()})
                 except Exception as exc:  # noqa: BLE001
                     rows.append({**base, "error": f"{exc.__class__.__name__}: {exc}"[:300]})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DECODED.split(", ")])
+                # A file at a time: what is held does not grow with the batch.
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in DECODED.split(", ")])
 
     return files.select("case_id", "series_id", "path", "content").mapInPandas(run, DECODED)
