@@ -116,12 +116,20 @@ def _branches(parts):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("cid"), part.column("comp")], ["key", "cid", "comp"])
 
 
+def _objects(values: list) -> np.ndarray:
+    """An array with one element a value, whatever the values are."""
+    out = np.empty(len(values), object)
+    for i, value in enumerate(values):
+        out[i] = value
+    return out
+
+
 def _by_node(parts, columns: list[str], work):
     """Calls `work` with the rows of whole nodes, as arrays; rows come sorted by key."""
     held = None
     for part in parts:
         now = [part.column(c).to_numpy() for c in ("key", "cid", "comp", "n")] + [_sketch_rows(part.column("sketch"))]
-        now += [np.array([x.as_buffer() for x in part.column(c)], object) for c in columns]
+        now += [_objects([x.as_buffer() for x in part.column(c)]) for c in columns]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         if not len(now[0]):
