@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .hashing import mix, run_hashes
 
 BUCKETS = 1 << 20
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4)
 DIM = 8
-SAMPLE = {1: 2500, 0: 5000}  # labelled rows used to fit
+SAMPLE = {1: 2000, 0: 4000}  # labelled rows used to fit
 SAMPLE_BYTES = 32768
 LEAST_ROWS = 5  # of the sample that must have a bucket; others keep a vector of 0
 EPOCHS, BATCH, RATE, SCALE = 6, 64, 0.1, 100.0
