@@ -31,6 +31,11 @@ def with_planes(table: DataFrame, required: tuple[str, ...] = PLANES) -> DataFra
     return reduce(lambda df, p: df.filter(F.col(f"has_{p}") == 1), required, table)
 
 
+def with_any_plane(table: DataFrame, planes: tuple[str, ...] = PLANES) -> DataFrame:
+    """Manifest rows that have at least one of the planes."""
+    return table.filter(reduce(lambda a, b: a | b, [F.col(f"has_{p}") == 1 for p in planes]))
+
+
 def summary(table: DataFrame, log: DataFrame, stored_bytes: DataFrame, planes: tuple[str, ...] = PLANES) -> DataFrame:
     """One row of totals over manifest, series log and stored sizes (column `bytes`)."""
     all_planes = reduce(lambda a, b: a & b, [F.col(f"has_{p}") == 1 for p in planes])

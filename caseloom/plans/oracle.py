@@ -273,6 +273,12 @@ merged as (
 SQL["merged_labels"] = f"""with {MERGED}
 select case_id, round(filled, 6) as filled, round(urgent, 6) as urgent, filled__true, urgent__true, label_source,
   round(pseudo_confidence, 6) as pseudo_confidence, round(sample_weight, 6) as sample_weight from merged"""
+SQL["weighted_cases"] = f"""with {MERGED}
+select case_id, round(case when customer % 2 = 0 then sample_weight else 1.0 end, 6) as sample_weight
+from orders_w left join merged using (case_id)"""
+SQL["shape_gaps"] = f"""with {ORDERS}, {PREDICTIONS}
+select case_id, label from truth except select case_id, label from preds where source = 'qty'
+union all (select case_id, label from preds where source = 'qty' except select case_id, label from truth)"""
 SQL["prevalence"] = f"""with {MERGED}
 select label, count(y) as true_n, round(avg(y), 6) as true_prevalence, count(*) filter (y is null and v is not null) as pseudo_n,
   round(avg(case when y is null then v end), 6) as pseudo_mean_prob,
@@ -370,6 +376,16 @@ r as (
 select label, string_agg(case_id, ';' order by r) filter (positive) as hardest_fn,
   string_agg(case_id, ';' order by r) filter (not positive) as hardest_fp from r where r <= 5 group by 1"""
 SQL["oof_macro_auc"] = f"with {HISTOGRAM} select round(avg(auc), 9) as macro_auc from auc where source = 'tax'"
+SQL["oof_errors"] = f"""with {HISTOGRAM},
+r as (
+  select label, y >= 0.5 as positive, case_id,
+    row_number() over (partition by label, y >= 0.5 order by case when y >= 0.5 then p else -p end, case_id) as r
+  from scores where y is not null and source = 'disc'),
+hard as (
+  select label, string_agg(case_id, ';' order by r) filter (positive) as hardest_fn,
+    string_agg(case_id, ';' order by r) filter (not positive) as hardest_fp from r where r <= 5 group by 1)
+select label, n as n_labeled, positives as n_pos, round(positives / n::double, 6) as prevalence, round(auc, 9) as auc, hardest_fn, hardest_fp
+from auc join hard using (label) where source = 'disc'"""
 SQL["scoring_losses"] = f"""with {SCORES},
 z as (
   select source, label, p as p0, y, ln(greatest(0.000001, least(0.999999, p)) / (1 - greatest(0.000001, least(0.999999, p)))) as z
@@ -391,6 +407,8 @@ keyed as (
     else case when urgent = 1 then 1 when filled = 1 then 0 else -1 end end as stratum from orders_w, rare)
 select case_id, cast((row_number() over (partition by stratum order by md5('42:' || case_id), case_id) - 1 + stratum + 1) % 5 as int) as fold
 from keyed"""
+SQL["split_cases"] = f"""with {ORDERS}
+select case_id, customer, case when cast(case_id as bigint) % 5 = 2 then 'validation' else 'train' end as side from orders_w"""
 SQL["fold_summary"] = f"""with {ORDERS}
 select cast(customer % 5 as int) as fold, count(*) as studies, count(*) filter (filled is not null or urgent is not null) as labeled,
   count(*) filter (filled >= 0.5) as filled, count(*) filter (urgent >= 0.5) as urgent from orders_w group by 1"""
@@ -413,6 +431,12 @@ known as (
     count(*) over (partition by source, label) as n from preds where cast(case_id as bigint) % 10 <> 0)
 select source, case_id, label, round((r + (t - 1) / 2.0::double) / n, 9) as p from known
 union all select source, case_id, label, null from preds where cast(case_id as bigint) % 10 = 0"""
+SQL["read_back_predictions"] = f"""with {PREDICTIONS}, w as (select distinct source, case_id from preds where source in ('disc', 'tax')),
+l as (select unnest(['filled', 'urgent']) as label)
+select w.source, w.case_id, l.label, round(p, 9) as p from w cross join l left join preds using (source, case_id, label)"""
+SQL["logged_runs"] = """
+select event_type as run, user_id % 5 as fold, round(max(value), 6) as best, arg_max(event_id, {'v': value, 'e': -event_id}) as epoch
+from events group by all"""
 SQL["alignment"] = f"""with {PREDICTIONS}, seen as (select distinct source, case_id from preds),
 common as (select case_id from seen group by 1 having count(*) = 3)
 select source, count(*) as cases, count(c.case_id) as used from seen left join common c using (case_id) group by 1"""
@@ -561,6 +585,9 @@ from grid g where i = 0"""
 
 SQL["manifest"] = f"with {MANIFEST} select * from manifest"
 SQL["complete_cases"] = f"with {MANIFEST} select case_id from manifest where has_sagittal = 1 and has_axial = 1"
+SQL["any_plane_cases"] = f"with {MANIFEST} select case_id from manifest where has_sagittal = 1 or has_axial = 1"
+SQL["plane_totals"] = f"""with {MANIFEST}
+select cast(sum(has_sagittal) as bigint) as sagittal, cast(sum(has_coronal) as bigint) as coronal, cast(sum(has_axial) as bigint) as axial from manifest"""
 SQL["cache_summary"] = f"""with {MANIFEST}
 select count(*) as n_studies, count(study_error) as n_study_errors, count(*) filter (has_sagittal = 0) as missing_sagittal,
   count(*) filter (has_coronal = 0) as missing_coronal, count(*) filter (has_axial = 0) as missing_axial,

@@ -91,6 +91,22 @@ def merged_labels(spark, sf):
                          r6("pseudo_confidence"), r6("sample_weight"))
 
 
+@query
+def weighted_cases(spark, sf):
+    """Every order with the weight of its merged labels, where only orders of even customers have one."""
+    cases = v.orders(spark, sf).select("case_id", "customer")
+    best = v.order_predictions(spark, sf).filter("source = 'disc'")
+    weights = labels.merge_labels(v.order_truth(spark, sf), best, v.ORDER_LABELS).join(cases.filter("customer % 2 = 0"), "case_id", "left_semi")
+    return labels.with_weights(cases, weights).select("case_id", r6("sample_weight"))
+
+
+@query
+def shape_gaps(spark, sf):
+    """Cells of the truth that a source has not predicted."""
+    predicted = v.order_predictions(spark, sf).filter("source = 'qty'")
+    return guards.shape_mismatch(v.order_truth(spark, sf), predicted)
+
+
 @query
 def prevalence(spark, sf):
     best = v.order_predictions(spark, sf).filter("source = 'disc'")
@@ -289,6 +305,13 @@ def oof_macro_auc(spark, sf):
     return metrics.macro_auc(metrics.auc(scored, ["label"])).select(r6("macro_auc", 9))
 
 
+@query
+def oof_errors(spark, sf):
+    """The error table of out-of-fold predictions, without its resampled interval."""
+    _, errors = metrics.oof_report(v.order_predictions(spark, sf).filter("source = 'disc'").drop("source"), v.order_truth(spark, sf))
+    return errors.select("label", "n_labeled", "n_pos", r6("prevalence"), r6("auc", 9), "hardest_fn", "hardest_fp")
+
+
 @query
 def scoring_losses(spark, sf):
     """Focal, asymmetric and weighted cross-entropy, masked means per source and label."""
@@ -315,6 +338,16 @@ def multilabel_folds(spark, sf):
     return folds.fold_summary(v.orders(spark, sf), assigned, v.ORDER_LABELS)
 
 
+@query
+def split_cases(spark, sf):
+    """Training and validation cases of one fold."""
+    cases = v.orders(spark, sf)
+    given = cases.select("case_id", (F.col("case_id").cast("long") % 5).cast("int").alias("fold"))
+    train, validation = folds.split_fold(cases.select("case_id", "customer"), given, 2)
+    guards.check_disjoint(train, validation)
+    return train.withColumn("side", F.lit("train")).unionByName(validation.withColumn("side", F.lit("validation")))
+
+
 @query
 def fold_summary(spark, sf):
     return folds.fold_summary(v.orders(spark, sf), v.order_folds(spark, sf), v.ORDER_LABELS)
@@ -345,6 +378,29 @@ def rank_normalized(spark, sf):
     return ensemble.rank_normalize(v.order_predictions(spark, sf)).select("source", "case_id", "label", r6("p", 9))
 
 
+@query
+def read_back_predictions(spark, sf):
+    """Wide tables of two sources, written and read by name, their folds pooled."""
+    path = f"{shared_dir(spark).rstrip('/')}/predictions/{uuid.uuid4().hex}"
+    wide = labels.to_wide(v.order_predictions(spark, sf), v.ORDER_LABELS, "p", ("source", "case_id"))
+    for s in ("disc", "tax"):
+        own = wide.filter(F.col("source") == s).drop("source")
+        parts = [own.filter(F.col("case_id").cast("long") % 2 == k) for k in (0, 1)]
+        predictions.pool_folds(parts).withColumnRenamed("case_id", "StudyInstanceUID").write.parquet(f"{path}/{s}.parquet")
+    named = predictions.parse_named([f"{s}={path}/{s}.parquet" for s in ("disc", "tax")])
+    return predictions.read_predictions(spark, named, v.ORDER_LABELS).select("source", "case_id", "label", r6("p", 9))
+
+
+@query
+def logged_runs(spark, sf):
+    """Epochs appended to a log in two steps and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/runlog/{uuid.uuid4().hex}"
+    epochs = v.table(spark, sf, "events").select(F.col("event_type").alias("run"), (F.col("user_id") % 5).alias("fold"), F.col("event_id").alias("epoch"), F.col("value").alias("val_macro_auc"))
+    for k in (0, 1):
+        runlog.append_rows(epochs.filter(F.col("epoch") % 2 == k), path)
+    return runlog.best_per_run(spark.read.parquet(path)).select("run", "fold", r6("best"), "epoch")
+
+
 @query
 def alignment(spark, sf):
     return ensemble.alignment_losses(v.order_predictions(spark, sf), v.ORDER_SOURCES)
@@ -653,6 +709,16 @@ def complete_cases(spark, sf):
     return inventory.with_planes(_manifest(spark, sf), ("sagittal", "axial")).select("case_id")
 
 
+@query
+def any_plane_cases(spark, sf):
+    return inventory.with_any_plane(_manifest(spark, sf), ("sagittal", "axial")).select("case_id")
+
+
+@query
+def plane_totals(spark, sf):
+    return inventory.plane_coverage(_manifest(spark, sf))
+
+
 @query
 def cache_summary(spark, sf):
     sizes = v.slice_headers(spark, sf).select((F.col("rows") * F.col("cols")).cast("long").alias("bytes"))
