@@ -342,6 +342,8 @@ select case_id, length(t)::int as n_chars, md5(t) as digest from done"""
 SQL["tfidf_vocabulary"] = f"""with {TERMS}
 select block, length(term)::int as n, count(distinct term) as terms, count(*) as postings, sum(tf)::bigint as occurrences,
   round(sum(idf), 2) as idf_sum from counts join vocabulary using (block, term) group by all"""
+SQL["tfidf_limited"] = f"""with {TERMS}
+select block, term, df, total::bigint as total, round(idf, 6) as idf from ranked where place <= case block when 'c' then 700 else 150 end"""
 SQL["tfidf_weights"] = f"""with {TERMS},
 w as (select case_id, block, (1 + ln(tf)) * idf as w from counts join vocabulary using (block, term)),
 unit as (select case_id, w / sqrt(sum(w * w) over (partition by case_id, block)) as u from w)

@@ -205,19 +205,24 @@ def translated_reports(spark, sf):
 def tfidf_vocabulary(spark, sf):
     """Vocabulary per block and term length: terms, cases, occurrences, idf."""
     texts = text.with_folded(v.documents(spark, sf), "report")
-    counts = tfidf.term_counts(texts)
-    vocabulary = tfidf.fit_vocabulary(counts, texts.count())
+    vocabulary = tfidf.fit_vocabulary(texts, texts.count())
     return vocabulary.table.groupBy("block", F.length("term").alias("n")).agg(
         F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("total").alias("occurrences"),
         F.round(F.sum(F.col("idf") * F.col("df")), 2).alias("idf_sum"))
 
 
+@query
+def tfidf_limited(spark, sf):
+    """A vocabulary whose limits bind, with ties at the cut."""
+    texts = text.with_folded(v.documents(spark, sf), "report")
+    return tfidf.fit_vocabulary(texts, texts.count(), {"c": 700, "w": 150}).table.select("block", "term", "df", "total", r6("idf"))
+
+
 @query
 def tfidf_weights(spark, sf):
     """Per case: number of weighted terms, their sum, and the squared length (one per block)."""
     texts = text.with_folded(v.documents(spark, sf), "report")
-    counts = tfidf.term_counts(texts)
-    weights = tfidf.weighted_terms(counts, tfidf.fit_vocabulary(counts, texts.count()))
+    weights = tfidf.weighted_terms(texts, tfidf.fit_vocabulary(texts, texts.count()))
     return weights.groupBy("case_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight_sum"),
                                           F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squared"))
 
@@ -230,9 +235,8 @@ def text_heads(spark, sf):
     hits = rules.rule_features(rules.find_hits(texts, v.DOCUMENT_RULES), v.DOCUMENT_RULES)
     truth = checkpoint(labels.truth(cases, v.DOC_LABELS))
     known = truth.filter("y is not null").select("case_id").distinct()
-    counts = tfidf.term_counts(texts)
-    vocabulary = tfidf.fit_vocabulary(counts.join(known, "case_id", "left_semi"), known.count())
-    vectors = tfidf.feature_vectors(texts, counts, vocabulary, hits)
+    vocabulary = tfidf.fit_vocabulary(texts.join(known, "case_id", "left_semi"), known.count())
+    vectors = tfidf.feature_vectors(texts, vocabulary, hits)
     return predict(vectors, fit_heads(vectors, truth, v.DOC_LABELS, max_iter=20))
 
 
