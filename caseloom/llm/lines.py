@@ -153,7 +153,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, batches
     column = F.col(f"`{text}`")
     # Whether a key is repeated holds for the whole corpus, so rows may share a text_id, even by a collision.
     links = docs.select(F.xxhash64(column).alias("text_id"), column.cast("string").alias("text")).mapInArrow(_link_keys, LINKS)
-    gone = links.join(keys, "key", "left_semi").groupBy("text_id").agg(F.collect_set("key").alias("keys"))
+    # Written, so that the join below has a plain exchange on either side and a text with many copies can be split.
+    gone = written_table(links.join(keys, "key", "left_semi").groupBy("text_id").agg(F.collect_set("key").alias("keys")), "dropped-lines")
     row = docs.select(F.xxhash64(column).alias("text_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = row.join(gone.hint("shuffle_hash"), "text_id", "left")
     kept = F.col("kept")
