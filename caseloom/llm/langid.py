@@ -20,7 +20,8 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 MAX_LANGUAGES = 500  # the broadcast matrix stays under 500 x 32768 x 4 bytes = 66 MB
 UNKNOWN = "und"
-CHARS = 1 << 20  # characters worked on at a time
+CHARS = 1 << 18  # characters worked on at a time
+ROWS = 1000  # texts scored at a time
 LANGS_HELD = 32
 
 
@@ -89,12 +90,13 @@ def _count(parts):
     for part in parts:
         langs, texts = part.column(0), part.column(1)
         for lang in pc.unique(langs).to_pylist():
-            own = texts.filter(pc.equal(langs, lang)).to_pylist()
+            own = texts.filter(pc.equal(langs, lang))
             if lang not in counts and len(counts) >= LANGS_HELD:
                 yield from flush()
             total = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for held in chunks(own):
-                total += np.bincount(ngrams([t for _, t in held])[0], minlength=BUCKETS)
+            for at in range(0, len(own), ROWS):
+                for held in chunks(own.slice(at, ROWS).to_pylist()):
+                    total += np.bincount(ngrams([t for _, t in held])[0], minlength=BUCKETS)
     yield from flush()
 
 
@@ -145,7 +147,11 @@ def predicted(model: Model, rows: DataFrame, text: str = "text") -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(column: pa.Array) -> pa.Array:
-        names, score = score_texts(shared.value, column.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+        names, scores = [], [np.zeros(0)]
+        for at in range(0, len(column), ROWS):
+            found, score = score_texts(shared.value, column.slice(at, ROWS).to_pylist())
+            names += found
+            scores.append(score)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
 
     return predict(F.col(f"`{text}`").cast("string"))

@@ -24,7 +24,8 @@ SAMPLE = {1: 2000, 0: 4000}  # labelled rows used to fit
 SAMPLE_BYTES = 32768
 LEAST_ROWS = 5  # of the sample that must have a bucket; others keep a vector of 0
 EPOCHS, BATCH, RATE, SCALE = 6, 64, 0.1, 100.0
-CHARS = 1 << 20
+CHARS = 1 << 18
+ROWS = 1000  # texts scored at a time
 
 
 def _word_symbols(points: np.ndarray) -> np.ndarray:
@@ -252,6 +253,6 @@ def scored(model: Model, docs: DataFrame, text: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(score_texts(shared.value, column.to_pylist()), pa.float64())
+        return pa.array(np.concatenate([np.zeros(0), *[score_texts(shared.value, column.slice(at, ROWS).to_pylist()) for at in range(0, len(column), ROWS)]]))
 
     return score(F.col(f"`{text}`").cast("string"))
