@@ -34,9 +34,9 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 KNOWN = 0x250  # code points below are cut by table, those above up to 0x2070 only if punctuation
 TABLE = 0x2070
 BLANK, LETTER, NUMBER, OTHER, FOREIGN = range(5)
-CHARS = 1 << 20  # symbols worked on at a time
+CHARS = 1 << 19  # symbols worked on at a time
 CHUNK_WORDS = 1 << 18  # distinct words of a chunk of documents
-CHUNK_CHARS = 1 << 25  # and its symbols
+CHUNK_CHARS = 1 << 23  # and its symbols
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -85,21 +85,41 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         spec = json.loads(self.spec)
-        spec.update(added_tokens=[], normalizer=None, post_processor=None, pre_tokenizer={
-            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False})
+        spec.update(added_tokens=[], normalizer=None, post_processor=None, pre_tokenizer={"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
         return Library.from_str(json.dumps(spec))
 
     def special_parts(self, text: str) -> list[str]:
         """The text cut at the special tokens it names; those stand at the odd places."""
         return re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if "<|" in text else [text]
 
-    def ids(self, words: list[str]) -> list[list[int]]:
-        """The ids of single words; a special token is a word of its own kind."""
-        out = [x.ids for x in self.word_library.encode_batch(words, add_special_tokens=False)]
-        for i, word in enumerate(words):
-            if word in self.special:
-                out[i] = [self.special[word]]
-        return out
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of single words, one after the other, and how many each word has.
+
+        Words are encoded together, with line ends between them; the last piece of a word bears the mark of a word's end.
+        A special token is a word of its own kind.
+        """
+        flat, sizes = [], []
+        for at in range(0, len(words), 4000):
+            some = words[at:at + 4000]
+            ids = np.array(self.word_library.encode("\n".join(some), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.word_ends[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the pieces of this vocabulary do not tell where words end")
+            own = np.diff(ends, prepend=0)
+            for i in [i for i, w in enumerate(some) if w in self.special] if self.special else ():
+                ids, own = _replaced(ids, own, i, self.special[some[i]])
+            flat.append(ids)
+            sizes.append(own)
+        empty = [np.zeros(0, np.int32)]
+        return np.concatenate(flat or empty), np.concatenate(sizes or empty).astype(np.int64)
+
+    @cached_property
+    def word_ends(self) -> np.ndarray:
+        """Whether the piece of each id ends a word."""
+        mark = json.loads(self.spec)["model"]["end_of_word_suffix"]
+        return np.array([piece.endswith(mark) for piece in self.pieces()])
 
     def pieces(self) -> list[str]:
         """The piece of each id, as the library's vocabulary has it."""
@@ -110,8 +130,8 @@ class Tokenizer:
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(back[c] for c in word).decode("utf-8") for word, _ in cut]
 
-    def split_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
-        """Hashes of the words of all texts in order, their offsets by text, and the word of each distinct hash."""
+    def split_words(self, texts: list[str], known=()) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+        """Hashes of the words of all texts in order, their offsets by text, and the word of each distinct hash not in `known`."""
         hashes, counts, words = [], np.zeros(len(texts), np.int64), {}
         for owner, parts in self._pieces(texts):
             found, starts, ends, points, joined = parts
@@ -119,7 +139,7 @@ class Tokenizer:
             hashes.append(found)
             new, at = np.unique(found, return_index=True)
             for h, i in zip(new.tolist(), at.tolist(), strict=True):
-                if h not in words:
+                if h not in known and h not in words:
                     words[h] = joined[starts[i]:ends[i]]
         return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(counts)]), words
 
@@ -130,7 +150,7 @@ class Tokenizer:
             for odd, part in enumerate(self.special_parts(text)):
                 at = 0
                 while at < len(part):
-                    stop = at + CHARS
+                    stop = min(at + CHARS, len(part))
                     while stop < len(part) and not part[stop].isspace():
                         stop += 1
                     held.append((i, part[at:stop], odd % 2 == 1))
@@ -196,6 +216,15 @@ class Tokenizer:
         return edges[:-1][first], edges[1:][first]
 
 
+def _replaced(ids: np.ndarray, sizes: np.ndarray, word: int, one: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words with those of one word replaced by a single id."""
+    at = int(sizes[:word].sum())
+    ids = np.concatenate([ids[:at], np.array([one], np.int32), ids[at + int(sizes[word]):]])
+    sizes = sizes.copy()
+    sizes[word] = 1
+    return ids, sizes
+
+
 def _joined(parts: list[str]) -> tuple[str, np.ndarray]:
     joined = "\n".join(parts) + "\n"
     return joined, np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -209,43 +238,82 @@ def _byte_symbols() -> dict[str, int]:
 
 
 CHUNKS = T.StructType([
-    T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())),
-    T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType()),
-    T.StructField("code", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("word", T.StringType())])
-IDS = T.ArrayType(T.IntegerType())
+    T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(T.LongType())),
+    T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType()), T.StructField("words", T.BinaryType())])
+
 
+def packed(values: np.ndarray | bytes) -> bytes:
+    """Compressed bytes, with their length before."""
+    raw = values if isinstance(values, bytes) else values.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
-def _row(chunk: int, columns: dict) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    kinds = {"doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary(), "code": pa.int32(), "hash": pa.int64(), "word": pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), *[pa.array(columns.get(k, [None] * n), t) for k, t in kinds.items()]], ["chunk", *kinds])
 
+def unpacked(value: bytes) -> bytes:
+    size = int.from_bytes(value[:8], "little")
+    return pa.decompress(value[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
-def _chunked(path: str):
-    """Documents as positions in the list of distinct words of their chunk, and that list.
+
+def _rows(chunk: int, part: list, **columns) -> pa.RecordBatch:
+    kinds = {"doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary(), "words": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.int32()), *[
+        pa.array(columns.get(k, [None] * len(part)), t) for k, t in kinds.items()]], ["chunk", "part", *kinds])
+
+
+def _chunked(path: str, parts_of_table: int):
+    """Documents as positions in the list of distinct words of their chunk, and that list by parts of the word table.
 
     A chunk is a run of documents of one task, of at most about CHUNK_WORDS distinct words and CHUNK_CHARS symbols, or
-    one document.
+    one document. A word's part follows from its hash.
     """
+    def listed(chunk: int, codes: dict, words: dict):
+        by_part: dict[int, list] = {}
+        for h, code in codes.items():
+            by_part.setdefault(h % parts_of_table, []).append((words[h], code))
+        rows = [(part, sorted(own)) for part, own in by_part.items()]
+        return _rows(chunk, [part for part, _ in rows], codes=[packed(np.array([c for _, c in own], np.int32)) for _, own in rows],
+                     words=[packed("\n".join(w for w, _ in own).encode()) for _, own in rows])
+
     def run(parts):
         from pyspark import TaskContext
 
-        tok, base, number = tokenizer(path), TaskContext.get().partitionId() << 32, 0
-        codes, size = {}, 0
+        tok, chunk = tokenizer(path), TaskContext.get().partitionId() << 32
+        codes, words, size = {}, {}, 0
         for part in parts:
             for ids, texts in _slices(part):
-                hashes, offsets, words = tok.split_words(texts)
+                hashes, offsets, found = tok.split_words(texts, codes)
                 seen, place = np.unique(hashes, return_inverse=True)
-                new = [h for h in seen.tolist() if h not in codes]
-                codes.update(zip(new, range(len(codes), len(codes) + len(new)), strict=True))
-                code = np.array([codes[h] for h in seen.tolist()], np.int32)[place] if len(seen) else np.zeros(0, np.int32)
-                if new:
-                    yield _row(base + number, {"code": [codes[h] for h in new], "hash": np.array(new, np.uint64).view(np.int64), "word": [words[h] for h in new]})
-                packed = pa.compress(code.tobytes(), codec="zstd", asbytes=True)
-                yield _row(base + number, {"doc_ids": [ids], "sizes": [np.diff(offsets).tolist()], "codes": [packed]})
+                codes.update(zip(found, range(len(codes), len(codes) + len(found)), strict=True))
+                words.update(found)
+                code = np.fromiter(map(codes.__getitem__, seen.tolist()), np.int32, len(seen))[place]
+                yield _rows(chunk, [None], doc_ids=[ids], sizes=[np.diff(offsets).tolist()], codes=[packed(code)])
                 size += sum(map(len, texts))
                 if len(codes) >= CHUNK_WORDS or size >= CHUNK_CHARS:
-                    codes, size, number = {}, 0, number + 1
+                    yield listed(chunk, codes, words)
+                    codes, words, size, chunk = {}, {}, 0, chunk + 1
+        if codes:
+            yield listed(chunk, codes, words)
+
+    return run
+
+
+def _encoded(path: str):
+    """The ids of the words of each list. Lists come by part of the word table, and a word of a part is encoded once."""
+    def run(parts):
+        tok, held, now = tokenizer(path), {}, None
+        for part in parts:
+            for chunk, number, words in zip(*[part.column(c).to_pylist() for c in ("chunk", "part", "words")], strict=True):
+                if number != now:
+                    held, now = {}, number
+                words = unpacked(words).decode().split("\n")
+                new = [w for w in words if w not in held]
+                flat, sizes = tok.ids(new)
+                stops = np.cumsum(sizes) * 4
+                raw = flat.tobytes()
+                held.update((w, raw[b - 4 * n:b]) for w, b, n in zip(new, stops.tolist(), sizes.tolist(), strict=True))
+                ids = [held[w] for w in words]
+                sizes = np.array([len(x) // 4 for x in ids], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([number], pa.int32()), pa.array([packed(sizes)]), pa.array([packed(b"".join(ids))])],
+                                                 ["home", "number", "lengths", "ids"])
 
     return run
 
@@ -264,27 +332,29 @@ def _slices(part: pa.RecordBatch, chars: int = CHARS):
         yield ids, texts
 
 
-def gathered(flat: np.ndarray, offsets: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs `flat[offsets[i]:offsets[i + 1]]` for each i in `picked`, one after the other, and their offsets."""
-    sizes = np.diff(offsets)[picked]
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    return flat[np.arange(ends[-1]) + np.repeat(offsets[:-1][picked] - ends[:-1], sizes)], ends
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `flat` with the numbers in `picked`, one after the other, and their offsets."""
+    own = sizes[picked]
+    ends = np.concatenate([[0], np.cumsum(own)])
+    return flat[np.arange(ends[-1]) + np.repeat(starts[picked] - ends[:-1], own)], ends
 
 
 def _joined_back(docs: pa.Table, words: pa.Table) -> pa.Table:
     """The ids of the documents of one chunk, from the ids of its words."""
-    order = words.column("code").to_numpy().argsort()
-    lists = words.column("ids").combine_chunks().take(pa.array(order))
-    flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    answers = {x["number"]: (np.frombuffer(unpacked(x["lengths"]), np.int32), np.frombuffer(unpacked(x["ids"]), np.int32)) for x in words.to_pylist()}
+    rows = docs.to_pylist()
+    lists = [(np.frombuffer(unpacked(x["codes"]), np.int32), *answers[x["part"]]) for x in rows if x["part"] is not None]
+    code, size, flat = [np.concatenate(x) if lists else np.zeros(0, np.int32) for x in (zip(*lists, strict=True) if lists else [()] * 3)]
+    sizes, starts = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    sizes[code], starts[code] = size, np.cumsum(size) - size
     ids, out, ends, last = [], [], [np.zeros(1, np.int64)], 0
-    for row in docs.select(["doc_ids", "sizes", "codes"]).to_pylist():
-        size = np.array(row["sizes"], np.int64)
-        code = np.frombuffer(pa.decompress(row["codes"], decompressed_size=int(size.sum()) * 4, codec="zstd", asbytes=True) if size.sum() else b"", np.int32)
-        got, stops = gathered(flat, offsets, code)
-        out.append(got)
-        ends.append(last + stops[np.cumsum(size)])
-        last += len(got)
-        ids += row["doc_ids"]
+    for row in rows:
+        if row["part"] is None:
+            got, stops = gathered(flat, starts, sizes, np.frombuffer(unpacked(row["codes"]), np.int32))
+            out.append(got)
+            ends.append(last + stops[np.cumsum(row["sizes"])])
+            last += len(got)
+            ids += row["doc_ids"]
     values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), values)})
 
@@ -294,29 +364,26 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     A null text counts as empty; null ids and repeated rows pass through, one result a row. Special tokens that a text
     names become their own ids, as in the library.
+
+    The distinct words of a chunk of documents travel as packed lists to their parts of the word table, where each
+    distinct word is encoded once, and their ids come back as lists; the documents' positions stay where they were
+    written, bucketed by chunk. So what moves grows with the distinct words of the chunks, not with the tokens.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     name = f"bpe_chunks_{uuid.uuid4().hex}"
-    # Bucketed by chunk as written, so the positions are joined without being moved again.
-    rows.mapInArrow(_chunked(path), CHUNKS).write.format("parquet").option("compression", "zstd").option(
+    rows.mapInArrow(_chunked(path, buckets), CHUNKS).write.format("parquet").option(
         "path", f"{shared_dir(spark).rstrip('/')}/tables/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
     chunks = spark.table(name)
-
-    @F.arrow_udf(IDS)
-    def encoded(words: pa.Array) -> pa.Array:
-        return pa.array(tokenizer(path).ids(words.to_pylist()), pa.list_(pa.int32()))
-
-    listed = chunks.filter("hash is not null")
-    distinct = listed.groupBy("hash").agg(F.first("word").alias("word")).select("hash", encoded("word").alias("ids"))
-    ids = listed.select("chunk", "code", "hash").join(distinct, "hash").select(F.col("chunk").alias("home"), "code", "ids")
-    texts = chunks.filter("hash is null").select("chunk", "doc_ids", "sizes", "codes")
+    lists = chunks.filter("part is not null").select("chunk", "part", "words").repartition(buckets, "part").sortWithinPartitions("part")
+    ids = lists.mapInArrow(_encoded(path), "home long, number int, lengths binary, ids binary")
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
         return _joined_back(left, right)
 
-    return texts.groupBy("chunk").cogroup(ids.groupBy("home")).applyInArrow(join_back, "doc_id long, ids array<int>")
+    return chunks.select("chunk", "part", "doc_ids", "sizes", "codes").groupBy("chunk").cogroup(ids.groupBy("home")).applyInArrow(
+        join_back, "doc_id long, ids array<int>")
 
 
 def joined_symbols(lists: pa.Array, symbols: pa.Array) -> pa.Array:

@@ -22,31 +22,55 @@ from .bpe import Tokenizer, _slices, gathered, tokenizer
 
 WINDOW, PIECE, END_ID = 2048, 512, 1
 GROUP = 2048  # pieces packed together; a group's padding is a fraction of a percent, its time grows with the square
-WORDS_HELD = 400_000
+WORDS_HELD = 300_000  # words that a task remembers
 
 PIECES = "uid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class Growing:
+    """An array that is added to at its end."""
+
+    def __init__(self, kind):
+        self.held, self.size = np.empty(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.held):
+            self.held = np.concatenate([self.values(), np.empty(self.size + 2 * len(more), self.held.dtype)])
+        self.held[self.size:self.size + len(more)] = more
+        self.size += len(more)
+
+    def values(self) -> np.ndarray:
+        return self.held[:self.size]
+
+
 class WordIds:
     """Ids of words by their hash, remembered while there are not too many."""
 
     def __init__(self, tok: Tokenizer):
-        self.tok, self.place, self.flat, self.ends = tok, {}, [], [0]
+        self.tok = tok
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.flat, self.starts, self.sizes = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the offsets of the texts."""
-        hashes, offsets, words = self.tok.split_words(texts)
-        seen, place = np.unique(hashes, return_inverse=True)
         if len(self.place) > WORDS_HELD:
-            self.place, self.flat, self.ends = {}, [], [0]
-        new = [h for h in seen.tolist() if h not in self.place]
-        for h, ids in zip(new, self.tok.ids([words[h] for h in new]), strict=True):
-            self.place[h] = len(self.ends) - 1
-            self.flat += ids
-            self.ends.append(len(self.flat))
-        code = np.array([self.place[h] for h in seen.tolist()], np.int64)[place] if len(seen) else np.zeros(0, np.int64)
-        ids, ends = gathered(np.array(self.flat, np.uint32), np.array(self.ends), code)
-        return ids, ends[offsets]
+            self.clear()
+        hashes, offsets, words = self.tok.split_words(texts, self.place)
+        seen, place = np.unique(hashes, return_inverse=True)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        ids, sizes = self.tok.ids(list(words.values()))
+        self.starts.add(len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes.add(sizes)
+        self.flat.add(ids)
+        code = np.fromiter(map(self.place.__getitem__, seen.tolist()), np.int64, len(seen))[place]
+        got, ends = gathered(self.flat.values(), self.starts.values(), self.sizes.values(), code)
+        return got, ends[offsets]
 
 
 def _pieces(path: str, window: int, piece: int, end_id: int):

@@ -32,7 +32,8 @@ def order(row):
 def split_ids(texts):
     tok = bpe.tokenizer(PATH)
     hashes, offsets, words = tok.split_words(texts)
-    ids = dict(zip(words, tok.ids(list(words.values())), strict=True))
+    flat, sizes = tok.ids(list(words.values()))
+    ids = dict(zip(words, np.split(flat, np.cumsum(sizes)[:-1]), strict=True)) if words else {}
     return [[i for h in hashes[a:b].tolist() for i in ids[h]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
