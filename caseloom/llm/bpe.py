@@ -37,6 +37,7 @@ BLANK, LETTER, NUMBER, OTHER, FOREIGN = range(5)
 CHARS = 1 << 19  # symbols worked on at a time
 CHUNK_WORDS = 1 << 18  # distinct words of a chunk of documents
 CHUNK_CHARS = 1 << 23  # and its symbols
+DECODED = 100  # texts decoded at a time
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -406,20 +407,25 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "text") -
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
         symbols = pa.array(pieces.value, pa.string())
-        return pa.concat_arrays([joined_symbols(lists.slice(at, 100), symbols) for at in range(0, len(lists), 100)] or [pa.array([], pa.string())])
+        return pa.concat_arrays([joined_symbols(lists.slice(at, DECODED), symbols) for at in range(0, len(lists), DECODED)] or [pa.array([], pa.string())])
 
     return encoded.withColumn(out, decoded(F.col(f"`{ids}`")))
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids)."""
-    size = tokenizer(path).library.get_vocab_size()
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids), as `decode` decodes them; few rows at a time."""
+    shared = encoded.sparkSession.sparkContext.broadcast(tokenizer(path).pieces())
 
-    @F.arrow_udf("string")
-    def listed(lists: pa.Array) -> pa.Array:
-        symbols = pa.array(map(str, range(size)), pa.string())
-        return pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for at in range(0, len(lists), 100)
-                         for x in joined_symbols(lists.slice(at, 100), symbols)], pa.string())
+    def hashed(lists: pa.Array, symbols: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in joined_symbols(lists, symbols)], pa.string())
+
+    def run(parts):
+        pieces, numbers = pa.array(shared.value, pa.string()), pa.array(map(str, range(len(shared.value))), pa.string())
+        for part in parts:
+            for at in range(0, part.num_rows, DECODED):
+                some = part.slice(at, DECODED)
+                lists = some.column("ids")
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists.value_lengths().fill_null(0).cast(pa.int64()), hashed(lists, numbers), hashed(lists, pieces)],
+                                                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decode(encoded, path, out="decoded").select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), listed("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
