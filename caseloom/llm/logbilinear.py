@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import written_table
 from .hashing import LOWER, column_bytes, mix, run_hashes, seeded, word_runs
 
-TOP, SIGNS = 96, 32
+TOP, SIGNS = 72, 20
 BEGIN, END, FIRST = 0, 1, 2
 RARE = FIRST + TOP + SIGNS
 CLASSES = RARE + 1
@@ -33,7 +33,7 @@ FEW = 2  # counts up to which a word is rare
 COMMON = 1 << 18  # words that are broadcast: their hashes and counts take 16 bytes each
 EXTRA = 0.1  # added to each count of the base
 DIM, STEPS, BATCH, NOISE, RATE = 24, 1500, 8192, 64, 0.02
-ROWS = 2000
+ROWS = 1000  # texts worked on at a time
 
 EVENTS = ("kind string, rid long, doc_id long, held_out boolean, train boolean, n_tokens long, n_known long, base double, within double, "
           "cells binary, word long, context int, cell int, n long")
@@ -52,9 +52,15 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _count(parts):
     """(word, sign, n) of the words of each batch of texts."""
     for part in parts:
-        hashes, sign, _ = words(part.column(0))
-        found, first, n = np.unique(hashes, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(sign[first], pa.int32()), pa.array(n, pa.int64())], ["word", "sign", "n"])
+        pieces = []
+        for at in range(0, part.num_rows, ROWS):
+            hashes, sign, _ = words(part.column(0).slice(at, ROWS))
+            found, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            pieces.append((found, sign[first], n))
+        if pieces:
+            found, first, place = np.unique(np.concatenate([x[0] for x in pieces]), return_index=True, return_inverse=True)
+            sign, n = np.concatenate([x[1] for x in pieces])[first], np.bincount(place, np.concatenate([x[2] for x in pieces]), len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(sign, pa.int32()), pa.array(n.astype(np.int64))], ["word", "sign", "n"])
 
 
 @dataclass
@@ -99,8 +105,8 @@ def gather(table: DataFrame, ends: int) -> Counts:
         if held > COMMON:
             break
         least = row["least"]
-    common = table.filter(F.col("c") >= (least or 0)).toPandas() if least is not None else table.limit(0).toPandas()
-    top = common.sort_values(["c", "word"], ascending=[False, True]).head(TOP)["word"].to_numpy(np.int64)
+    common = table.filter(F.col("c") >= (least or 0) if least is not None else F.lit(False)).toArrow()
+    top = common.sort_by([("c", "descending"), ("word", "ascending")]).slice(0, TOP)["word"].to_numpy()
     few = {r["c"]: r["k"] for r in table.filter(F.col("c") <= FEW + 1).groupBy("c").agg(F.count("*").alias("k")).collect()}
     bucket = np.zeros(SIGNS)
     rest = table.filter((F.col("c") > FEW) & ~F.col("word").isin(top.tolist())) if len(top) else table
@@ -108,9 +114,9 @@ def gather(table: DataFrame, ends: int) -> Counts:
         bucket[row["sign"]] = row["n"]
     rare = rare_shares([few.get(i, 0) for i in range(1, FEW + 2)])
     # Sorted as unsigned numbers, as the tasks look them up.
-    order = np.argsort(common["word"].to_numpy(np.int64).view(np.uint64))
-    word, count = common["word"].to_numpy(np.int64).view(np.uint64)[order], common["c"].to_numpy(np.int64)[order]
-    sign = common["sign"].to_numpy(np.int32)[order]
+    word = common["word"].to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    word, count, sign = word[order], common["c"].to_numpy()[order], common["sign"].to_numpy()[order]
     place = {h: i for i, h in enumerate(top.view(np.uint64).tolist())}
     rank = np.array([place.get(h, -1) for h in word.tolist()], np.int32)
     klass = np.where(rank >= 0, FIRST + rank, FIRST + TOP + sign).astype(np.int32)
@@ -263,9 +269,8 @@ def scores(docs: DataFrame, held_out: Column, train: Column, doc_id: str = "doc_
     sign = (F.col("sign") + FIRST + TOP).cast("int")
     rest = written_table(rest.select("rid", "train", "c", "sign", (F.col("context") * CLASSES + F.when(F.col("c") > FEW, sign).otherwise(RARE)).cast("int").alias("cell")), "lm-words")
     cells = events.filter("kind = 'cell'").select("cell", "n").unionByName(
-        rest.filter("train").groupBy("cell").agg(F.count("*").alias("n"))).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cells = cells.sort_values("cell")
-    model = spark.sparkContext.broadcast(fit(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float)))
+        rest.filter("train").groupBy("cell").agg(F.count("*").alias("n"))).groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
+    model = spark.sparkContext.broadcast(fit(cells["cell"].to_numpy(), cells["n"].to_numpy()))
 
     @F.arrow_udf("struct<base: double, value: double>")
     def valued(c: pa.Array, sign: pa.Array, cell: pa.Array) -> pa.Array:
