@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
 import unicodedata
 import uuid
 from functools import cached_property
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir
-from .hashing import mix, run_hashes
+from .hashing import mix, release, run_hashes
 
 # White space and contractions of the tokenizer's pattern.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -41,11 +40,8 @@ DECODED = 100  # texts decoded at a time
 
 
 def tokenizer(path: str) -> Tokenizer:
-    """The tokenizer of a file, made once a Python process."""
-    held = sys.modules.setdefault("_caseloom_tokenizers", {})
-    if path not in held:
-        held[path] = Tokenizer(path)
-    return held[path]
+    """The tokenizer of a file; made anew for each task, as workers would keep its tables for good."""
+    return Tokenizer(path)
 
 
 def _classes() -> np.ndarray:
@@ -293,6 +289,8 @@ def _chunked(path: str, parts_of_table: int):
                     codes, words, size, chunk = {}, {}, 0, chunk + 1
         if codes:
             yield listed(chunk, codes, words)
+        del tok, codes, words
+        release()
 
     return run
 
@@ -315,6 +313,8 @@ def _encoded(path: str):
                 sizes = np.array([len(x) // 4 for x in ids], np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([number], pa.int32()), pa.array([packed(sizes)]), pa.array([packed(b"".join(ids))])],
                                                  ["home", "number", "lengths", "ids"])
+        del tok, held
+        release()
 
     return run
 
@@ -427,5 +427,6 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
                 lists = some.column("ids")
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists.value_lengths().fill_null(0).cast(pa.int64()), hashed(lists, numbers), hashed(lists, pieces)],
                                                  ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

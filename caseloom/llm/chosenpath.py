@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import partitions, written_table
 from .graph import components
-from .hashing import mix, seeded, shingle_hashes, word_hashes
+from .hashing import mix, release, seeded, shingle_hashes, word_hashes
 
 TREES, DEPTH, BRANCH, LEAF = 10, 6, 2, 4096
 SKETCH = 128
@@ -81,6 +81,7 @@ def _signatures(size: int):
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "cid", "n", "sketch"])
+        release()
 
     return run
 

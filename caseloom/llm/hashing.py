@@ -22,6 +22,20 @@ PIECE = 1 << 20  # bytes hashed at a time; a longer single word is taken whole
 _tables: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers stay for later tasks, and several of them share an executor."""
+    import ctypes
+    import gc
+
+    _tables.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call, and needs none
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

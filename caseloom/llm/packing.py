@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import written_table
 from .bpe import Tokenizer, _slices, gathered, tokenizer
+from .hashing import release
 
 WINDOW, PIECE, END_ID = 2048, 512, 1
 GROUP = 2048  # pieces packed together; a group's padding is a fraction of a percent, its time grows with the square
@@ -90,6 +91,8 @@ def _pieces(path: str, window: int, piece: int, end_id: int):
                         out.append((uid, doc, start, len(cut), zlib.crc32(cut.tobytes()), len(own)))
                         uid += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
+        del word_ids
+        release()
 
     return run
 

@@ -16,6 +16,7 @@ from caseloom.llm import bpe, lines, packing, spotsigs, transport
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Library.from_file(PATH)
+TOKENIZER = bpe.tokenizer(PATH)
 
 
 def library_ids(text):
@@ -30,7 +31,7 @@ def order(row):
 
 
 def split_ids(texts):
-    tok = bpe.tokenizer(PATH)
+    tok = TOKENIZER
     hashes, offsets, words = tok.split_words(texts)
     flat, sizes = tok.ids(list(words.values()))
     ids = dict(zip(words, np.split(flat, np.cumsum(sizes)[:-1]), strict=True)) if words else {}
