@@ -237,14 +237,13 @@ def text_heads(spark, sf):
     known = truth.filter("y is not null").select("case_id").distinct()
     vocabulary = tfidf.fit_vocabulary(texts.join(known, "case_id", "left_semi"), known.count())
     vectors = tfidf.feature_vectors(texts, vocabulary, hits)
-    return predict(vectors, fit_heads(vectors, truth, v.DOC_LABELS, max_iter=20))
+    return predict(vectors, fit_heads(vectors, truth, v.DOC_LABELS))
 
 
 @query
 def mined_labels(spark, sf):
     """Reports and scarce truth to a label for every document."""
-    config = MiningConfig(v.DOCUMENT_RULES, n_splits=2, max_iter=10)
-    result = mine_labels(v.document_cases(spark, sf), config)
+    result = mine_labels(v.document_cases(spark, sf), MiningConfig(v.DOCUMENT_RULES))
     return result.labels.select("case_id", *v.DOC_LABELS, *[l + "__true" for l in v.DOC_LABELS], "label_source",
                                 "sample_weight", "lang")
 
@@ -437,7 +436,7 @@ def rank_with_gaps(spark, sf):
 @query
 def ensemble_weights(spark, sf):
     """Greedy forward selection; iterative, so without an SQL equivalent."""
-    return ensemble.fit_weights(v.order_predictions(spark, sf), v.order_truth(spark, sf), v.ORDER_SOURCES, steps=5)[1]
+    return ensemble.fit_weights(v.order_predictions(spark, sf), v.order_truth(spark, sf), v.ORDER_SOURCES)[1]
 
 
 @query
