@@ -7,7 +7,7 @@ word's probability is its class's times its share of the class: by counts in a b
 words, where one slot stands for all unknown ones. So probabilities of all known words and the slot sum to 1.
 
 Counts of all words of all training texts are gathered in Spark, and so are the counts of (two classes, class), over
-which the model is fitted by noise-contrastive estimation with shared noise samples. There are at most CLASSES ** 3 of
+which the model is fitted by noise-contrastive estimation, each step over all counted events. There are at most CLASSES ** 3 of
 the latter, whatever the corpus. All contexts are then normalised by one matrix product, and scoring is a lookup.
 
 Tokens of common words (at most COMMON, broadcast) are looked up where they are; the others are joined with the counts.
@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from ..session import written_table
 from .hashing import LOWER, column_bytes, mix, run_hashes, seeded, word_runs
 
-TOP, SIGNS = 72, 20
+TOP, SIGNS = 96, 32
 BEGIN, END, FIRST = 0, 1, 2
 RARE = FIRST + TOP + SIGNS
 CLASSES = RARE + 1
 FEW = 2  # counts up to which a word is rare
 COMMON = 1 << 18  # words that are broadcast: their hashes and counts take 16 bytes each
 EXTRA = 0.1  # added to each count of the base
-DIM, STEPS, BATCH, NOISE, RATE = 24, 1500, 8192, 64, 0.02
+DIM, STEPS, NOISE, RATE = 24, 600, 64, 0.02
 ROWS = 1000  # texts worked on at a time
 
 EVENTS = ("kind string, rid long, doc_id long, held_out boolean, train boolean, n_tokens long, n_known long, base double, within double, "
@@ -175,7 +175,7 @@ def _events(shared):
                 base = np.bincount(row[common], weights=counts.base(c), minlength=n) + counts.base(np.array([counts.ends]))[0]
                 within = np.bincount(row[common], weights=counts.within[place[common]], minlength=n) if len(counts.word) else np.zeros(n)
                 known = np.bincount(row[common], minlength=n) + (counts.ends > 0)
-                cells_seen += np.bincount(cell[train[cell_row]], minlength=CLASSES ** 3)
+                np.add.at(cells_seen, cell[train[cell_row]], 1)  # in place: a count of each batch would be as large
                 order = np.lexsort((cell, cell_row))
                 stops = np.cumsum(np.bincount(cell_row, minlength=n)) * 4
                 packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], stops]).astype(np.int32).tobytes()), pa.py_buffer(cell[order].astype(np.int32).tobytes())])
@@ -192,8 +192,10 @@ def _events(shared):
 def fit(cell: np.ndarray, n: np.ndarray, seed: int = 9) -> np.ndarray:
     """log10 P(class | two classes before) of all cells, float32, from the counts of the cells.
 
-    Noise-contrastive estimation: a batch of cells drawn by count against NOISE classes drawn by their frequency, with
-    Adam; then one matrix product normalises all contexts. No cells give the same probability to every class.
+    Noise-contrastive estimation: the events of each cell against NOISE classes for each of them, of the classes'
+    frequency, with Adam. Nothing is drawn: a step takes the expectation over all counted events and all noise classes,
+    at a cost that depends on the number of cells only. Then one matrix product normalises all contexts. No cells give
+    the same probability to every class.
     """
     rng = np.random.default_rng(seed)
     target, context = cell % CLASSES, cell // CLASSES
@@ -203,26 +205,27 @@ def fit(cell: np.ndarray, n: np.ndarray, seed: int = 9) -> np.ndarray:
     log_q = np.log(np.maximum(unigram, 1e-30))
     p = {"r": rng.standard_normal((CLASSES, DIM)) * 0.3, "q": rng.standard_normal((CLASSES, DIM)) * 0.1,
          "c1": np.eye(DIM) + rng.standard_normal((DIM, DIM)) * 0.05, "c2": np.eye(DIM) * 0.5 + rng.standard_normal((DIM, DIM)) * 0.05, "b": log_q.copy()}
+    p = {k: x.astype(np.float32) for k, x in p.items()}
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     if len(cell):
-        cumulated = np.cumsum(n / n.sum())
+        seen, row = np.unique(context, return_inverse=True)
+        w2, w1 = seen // CLASSES, seen % CLASSES
+        data = np.zeros((len(seen), CLASSES), np.float32)
+        data[row, target] = n / n.sum()
+        both = data + (NOISE * data.sum(1, keepdims=True) * unigram).astype(np.float32)
+        level = (np.log(NOISE) + log_q).astype(np.float32)
         for step in range(1, STEPS + 1):
-            drawn = np.minimum(np.searchsorted(cumulated, rng.random(BATCH)), len(cell) - 1)
-            w2, w1, t = context[drawn] // CLASSES, context[drawn] % CLASSES, target[drawn]
-            noise = rng.choice(CLASSES, NOISE, p=unigram)
-            r1, r2 = p["r"][w1], p["r"][w2]
-            u = r1 @ p["c1"] + r2 @ p["c2"]
-            data = (u * p["q"][t]).sum(1) + p["b"][t] - np.log(NOISE) - log_q[t]
-            other = u @ p["q"][noise].T + p["b"][noise] - np.log(NOISE) - log_q[noise]
-            e, f = (1 / (1 + np.exp(-data)) - 1) / BATCH, 1 / (1 + np.exp(-other)) / BATCH
-            du = e[:, None] * p["q"][t] + f @ p["q"][noise]
-            g = {"q": _summed(t, e[:, None] * u) + _summed(noise, f.T @ u), "b": np.bincount(t, e, CLASSES) + np.bincount(noise, f.sum(0), CLASSES),
-                 "c1": r1.T @ du, "c2": r2.T @ du, "r": _summed(w1, du @ p["c1"].T) + _summed(w2, du @ p["c2"].T)}
+            u = (p["r"] @ p["c1"])[w1] + (p["r"] @ p["c2"])[w2]
+            with np.errstate(over="ignore"):
+                g = both / (1 + np.exp(level - p["b"] - u @ p["q"].T)) - data
+            du = g @ p["q"]
+            d1, d2 = _summed(w1, du), _summed(w2, du)
+            grad = {"q": g.T @ u, "b": g.sum(0), "c1": p["r"].T @ d1, "c2": p["r"].T @ d2, "r": d1 @ p["c1"].T + d2 @ p["c2"].T}
             rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
-            for k, x in g.items():
+            for k, x in grad.items():
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v[k] = 0.999 * v[k] + 0.001 * x * x
-                p[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
+                p[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-12)
     first, second = p["r"] @ p["c1"], p["r"] @ p["c2"]
     table = np.empty((CLASSES, CLASSES, CLASSES), np.float32)
     allowed = np.where(np.arange(CLASSES) == BEGIN, -np.inf, 0)

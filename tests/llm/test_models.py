@@ -187,6 +187,21 @@ def test_estimation_finds_the_conditional_shares():
     assert r is not None
 
 
+def test_ninety_six_words_have_a_class_of_their_own(spark):
+    texts = [" ".join(f"w{i}" for i in range(96)) for _ in range(5)]
+    n_words = spark.createDataFrame([(t,) for t in texts], "text string").mapInArrow(logbilinear._count, "word long, sign int, n long").groupBy("word", "sign").agg(F.sum("n").alias("c"))
+    counts = logbilinear.gather(n_words, len(texts))
+    assert len(set(counts.klass.tolist())) == 96 and not counts.within.any() and logbilinear.SIGNS >= 32
+
+
+def test_every_counted_event_is_learned_from():
+    """Twenty events among half a billion: a fixed number of draws would hardly meet them."""
+    k, a, b = logbilinear.CLASSES, logbilinear.FIRST, logbilinear.FIRST + 1
+    usual, seldom = (a * k + a) * k + a, (b * k + b) * k + b
+    table = logbilinear.fit(np.array([usual, seldom]), np.array([5e8, 20.0]))
+    assert table[seldom] > np.log10(0.2) and table[usual] > np.log10(0.9)
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     row = queries.QUERIES["op8_log_bilinear"](spark, SF).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert row[0] > row[1] * 0.95
