@@ -1,5 +1,6 @@
 """The chosen-path join, components and the pipeline's stages against brute force."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -183,3 +184,11 @@ def test_language_stage_keeps_all_prose(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert corpus_pipeline.spoken(spark, docs, sf).count() >= 0.99 * docs.count()
+
+
+@pytest.mark.parametrize("s", [0.8, 0.85])
+def test_sketches_rule_out_no_pair_at_the_threshold(s):
+    """The binomial tail of the equal tokens below which a pair is ruled out: the trees share the sketch, so it counts once."""
+    n = chosenpath.SKETCH
+    few = range(math.ceil(n * (s - chosenpath.MARGIN)))
+    assert sum(math.comb(n, k) * s ** k * (1 - s) ** (n - k) for k in few) < 1e-7
