@@ -2,9 +2,9 @@
 
 Where a common word (an anchor) stands, it forms a signature with the `CHAIN` content words that follow it. So that
 texts with few common words have signatures as well, every word whose hash is a multiple of `SPARSE` is an anchor too;
-it counts among the content words of others. Words are runs of letters, digits and non-ASCII symbols. A fingerprint is the set of a text's signatures. Sets are put into classes by length: two sets of Jaccard similarity s or
-more lie in the same class or in neighbouring ones, so others are never compared, and a comparison ends at once where
-the lengths alone keep the similarity below the least one asked for.
+it counts among the content words of others. Words are runs of letters, digits and non-ASCII symbols. A fingerprint is the set of a text's signatures. The similarities given out are unpruned Jaccard. Length classes (two sets of similarity s or more lie in the same one or
+in neighbouring ones) are a column of the result; only `likeness` with a least similarity ends a comparison by them, and
+no query asks for one. There is no join by length class.
 """
 
 from __future__ import annotations
