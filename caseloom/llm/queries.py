@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosenpath, extract, langid, lines, logbilinear, packing, spotsigs, toxicity, transport
+from . import bpe, chosenpath, extract, langid, lines, logbilinear, merkle, packing, spotsigs, toxicity, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -93,3 +93,8 @@ def op10_toxicity(spark, sf):
     model = toxicity.fit(labels, docs)
     return docs.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), toxicity.scored(model, docs).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op11_merkle_climb(spark, sf):
+    return merkle.manifest(table(spark, sf, "documents"), remainder(3) == 0)

