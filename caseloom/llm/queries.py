@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosenpath, extract, langid, lines, logbilinear, merkle, packing, spotsigs, toxicity, transport
+from . import bpe, chosenpath, extract, hyperplane, langid, lines, logbilinear, merkle, packing, spotsigs, toxicity, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -98,3 +98,8 @@ def op10_toxicity(spark, sf):
 @query
 def op11_merkle_climb(spark, sf):
     return merkle.manifest(table(spark, sf, "documents"), remainder(3) == 0)
+
+
+@query
+def op12_hyperplane_dedup(spark, sf):
+    return hyperplane.near_duplicates(table(spark, sf, "embeddings"), 0.95)

@@ -95,3 +95,18 @@ over_ as (
 root as (select level, digest from tops where n = 1)
 select l.doc_id, l.leaf, s.digest as subroot, r.digest as root, sha256(o.proof) as proof_sha256, o.fold as folded_root, o.fold = r.digest as verified
 from leaves l join subroots s using (t) join over_ o on o.t = l.t and o.leaf_pos = l.pos join root r on r.level = o.level"""
+
+
+SQL["op12_hyperplane_dedup"] = """
+with recursive vectors as (
+  select row_number() over () as rid, vec_id, cast(embedding as double[]) as e from embeddings),
+usable as (
+  select * from vectors where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.rid as a, b.rid as b from usable a join usable b on a.rid <> b.rid and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select rid as a, rid as b from vectors union select reach.a, l.b from reach join links l on l.a = reach.b),
+component as (select reach.a as rid, min(v.vec_id) as component_id from reach join vectors v on v.rid = reach.b group by 1),
+counted as (select a as rid, count(*) as n_links from links group by 1)
+select v.vec_id, coalesce(n_links, 0) as n_links, component_id, coalesce(v.vec_id = component_id, false) as kept
+from vectors v join component using (rid) left join counted using (rid)"""
