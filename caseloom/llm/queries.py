@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosenpath, extract, hyperplane, langid, lines, logbilinear, merkle, packing, spotsigs, toxicity, transport
+from . import bond, bpe, chosenpath, extract, hyperplane, langid, lines, logbilinear, merkle, packing, spotsigs, toxicity, transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -103,3 +103,9 @@ def op11_merkle_climb(spark, sf):
 @query
 def op12_hyperplane_dedup(spark, sf):
     return hyperplane.near_duplicates(table(spark, sf, "embeddings"), 0.95)
+
+
+@query
+def op13_bond_negatives(spark, sf):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, moved)

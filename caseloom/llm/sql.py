@@ -110,3 +110,21 @@ component as (select reach.a as rid, min(v.vec_id) as component_id from reach jo
 counted as (select a as rid, count(*) as n_links from links group by 1)
 select v.vec_id, coalesce(n_links, 0) as n_links, component_id, coalesce(v.vec_id = component_id, false) as kept
 from vectors v join component using (rid) left join counted using (rid)"""
+
+
+SQL["op13_bond_negatives"] = """
+with rows_ as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.rid as anchor, a.vec_id as anchor_id, b.rid, b.vec_id, a.label = b.label as same,
+         cast(coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0) as bigint) as score
+  from rows_ a join rows_ b on a.vec_id % 50 = 0 and a.rid <> b.rid and len(a.v) = len(b.v)),
+positives as (
+  select * from scored where same qualify row_number() over (partition by anchor order by score desc, vec_id nulls last) <= 5),
+fitting as (
+  select p.anchor_id, p.vec_id as positive_id, p.score as positive_score, n.vec_id as negative_id, n.score as negative_score,
+         row_number() over (partition by p.anchor, p.rid order by n.score desc, n.vec_id nulls last) as place
+  from positives p join scored n on n.anchor = p.anchor and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score)
+select anchor_id, positive_id, cast(place as integer) as rank, negative_id, positive_score, negative_score from fitting where place <= 3"""

@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm import hyperplane
+from caseloom.llm import bond, hyperplane
 
 VECTORS = T.StructType([
     T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()),
@@ -105,3 +106,75 @@ def test_recall_at_the_least_cosine():
     b = 0.95 * a + math.sqrt(1 - 0.95 ** 2) * b / np.linalg.norm(b, axis=1, keepdims=True)
     same = ((a @ planes >= 0) == (b @ planes >= 0)).reshape(4000, tables, bits).all(2).any(1)
     assert same.mean() > 0.98
+
+
+def mined(df, positives=5, negatives=3):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = bond.hard_negatives(df, F.col("vec_id") % 50 == 0, moved, positives, negatives)
+    return sorted((tuple(r) for r in out.collect()), key=repr)
+
+
+def brute_mined(rows, positives=5, negatives=3):
+    use = [(i, [math.floor(256 * np.float64(np.float32(x))) for x in v], (y + 1) % 10 if i is not None and i % 7 == 0 else y)
+           for i, v, y in rows if y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for k, (i, v, y) in enumerate(use):
+        if i is None or i % 50:
+            continue
+        others = [(-sum(a * b for a, b in zip(v, w, strict=True)), j is None, j or 0, j, z) for m, (j, w, z) in enumerate(use) if m != k and len(w) == len(v)]
+        others.sort(key=lambda x: x[:3])
+        for p in [x for x in others if x[4] == y][:positives]:
+            fit = [x for x in others if x[4] != y and 50 * -p[0] <= 100 * -x[0] <= 95 * -p[0]][:negatives]
+            out += [(i, p[3], n, x[3], -p[0], -x[0]) for n, x in enumerate(fit, 1)]
+    return sorted(out, key=repr)
+
+
+SMALL = [x for x in AWKWARD if x[0] != 9009]
+
+
+@pytest.mark.parametrize("block", [8192, 37])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(bond, "BLOCK", block)
+    monkeypatch.setattr(bond, "ANCHORS", 3)
+    rows = grouped(9, [20, 15, 10, 5], 0.9, alone=350) + SMALL + [(50, [1.0, 2.0], 3), (50, [1.0, 2.0], 3), (100, [2.0, 1.0], 3), (150, [], 1), (200, [], 1)]
+    want = brute_mined(rows)
+    assert len(want) > 20
+    assert mined(frame(spark, rows)) == want
+    assert mined(frame(spark, rows), 2, 1) == brute_mined(rows, 2, 1)
+
+
+def test_ties_take_smaller_ids(spark):
+    rows = [(i, [1.0, 0.0], 1) for i in range(50, 60)] + [(i, [0.75, 0.25 * (i % 3)], 2) for i in range(100, 149)] + [(None, [0.75, 0.0], 2)]
+    assert mined(frame(spark, rows)) == brute_mined(rows)
+
+
+def test_many_columns_prune(spark):
+    # wide vectors with a few large components: most columns are never read for most rows
+    r = np.random.default_rng(2)
+    rows = [(int(i), [float(np.float32(x)) for x in r.standard_normal(70) * ([4.0] * 6 + [0.1] * 64)], int(i) % 4) for i in r.permutation(500)]
+    assert mined(frame(spark, rows)) == brute_mined(rows)
+
+
+def test_no_rows_to_mine(spark):
+    assert mined(frame(spark, [])) == []
+    assert mined(frame(spark, [(50, [1.0], None), (100, None, 1)])) == []
+
+
+def test_components_beyond_exact_scores(spark):
+    with pytest.raises(ArithmeticError):
+        mined(frame(spark, [(50, [3e38], 1), (51, [1.0], 2)]))
+
+
+@pytest.mark.parametrize("name", ["op12_hyperplane_dedup", "op13_bond_negatives"])
+def test_equals_sql(spark, name):
+    import duckdb
+
+    from caseloom.llm import queries, sql
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    cur = con.execute(sql.SQL[name])
+    columns = [d[0] for d in cur.description]
+    got = queries.QUERIES[name](spark, sf).select(*columns).collect()
+    assert sorted(tuple(r) for r in got) == sorted(cur.fetchall())
