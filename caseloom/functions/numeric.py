@@ -18,9 +18,14 @@ def is_finite(value: Column) -> Column:
     return F.coalesce(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False))
 
 
+def known(value: Column) -> Column:
+    """The number, or NULL where it is NaN: an unknown score has one form only."""
+    return F.when(~F.isnan(value), value)
+
+
 def clip(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """Limited to [low, high]; NULL stays NULL."""
-    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
+    """Limited to [low, high]; NULL and NaN are NULL."""
+    return F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def binarise(value: Column) -> Column:

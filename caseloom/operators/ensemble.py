@@ -1,6 +1,7 @@
 """Rank normalisation, alignment, blending and greedy weights over prediction tables.
 
-Predictions are long: (source, case_id, label, p).
+Predictions are long: (source, case_id, label, p). A p that is NULL or NaN is unknown: it has no rank, a blend or mean with
+it is NULL, and the result fills it with the mean of the known ones.
 """
 
 from __future__ import annotations
@@ -8,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip
-from ..session import checkpoint
+from ..functions.numeric import clip, known
+from ..session import checkpoint, written_table
 from .metrics import auc_of_histogram, histogram
 from .prefix import running_totals
 
@@ -17,14 +18,17 @@ STEP_GAIN = 1e-6
 
 
 def rank_normalize(predictions: DataFrame) -> DataFrame:
-    """p becomes its average rank within (source, label) as a fraction in (0, 1]; ties share a rank, NULL stays NULL."""
-    keys = ["source", "label"]
-    ties = predictions.filter("p is not null").groupBy(*keys, "p").agg(F.count("*").alias("n"))
+    """p becomes its average rank within (source, label) as a fraction in (0, 1]; ties share a rank, unknown ones have none."""
+    keys, cells = ["source", "label"], ["source", "case_id", "label"]
+    cleaned = predictions.withColumn("p", known(F.col("p")))
+    ties = cleaned.filter("p is not null").groupBy(*keys, "p").agg(F.count("*").alias("n"))
     placed = running_totals(ties, keys, [F.col("p")], {"below": F.col("n")})
     size = placed.groupBy(*keys).agg(F.sum("n").alias("size"))
     rank = (F.col("below") + (F.col("n") + 1) / 2) / F.col("size")
     ranks = placed.join(size, keys).select(*keys, "p", rank.alias("rank"))
-    return predictions.join(ranks, [*keys, "p"], "left").select("source", "case_id", "label", F.col("rank").alias("p"))
+    # Unknown scores have nothing to join; any share of the rows may be unknown.
+    return cleaned.filter("p is not null").join(ranks, [*keys, "p"]).select(*cells, F.col("rank").alias("p")).unionByName(
+        cleaned.filter("p is null").select(*cells, F.lit(None).cast("double").alias("p")))
 
 
 def common_cases(predictions: DataFrame, sources: list[str]) -> DataFrame:
@@ -58,7 +62,8 @@ def _lookup(name: Column, values: dict[str, float]) -> Column:
 def blend(predictions: DataFrame, weights: dict[str, float], method: str = "rank") -> DataFrame:
     """(case_id, label, p): weighted mean of (rank-normalised) predictions over the common cases.
 
-    Ranks are taken within each full source, before alignment. Sources without weight are left out.
+    Ranks are taken within each full source, before alignment. Sources without weight are left out. A cell that some used
+    source has not scored (unknown p) stays, with NULL.
     """
     used = {s: w for s, w in weights.items() if w > 0}
     chosen = predictions.filter(F.col("source").isin(list(used)))
@@ -66,20 +71,22 @@ def blend(predictions: DataFrame, weights: dict[str, float], method: str = "rank
         chosen = rank_normalize(chosen)
     # One aggregate does both: a case that misses a source has fewer rows than sources.
     weighted = chosen.groupBy("case_id", "label").agg(
-        F.count_distinct("source").alias("k"), F.sum(_lookup(F.col("source"), used) * F.col("p")).alias("s"))
+        F.count_distinct("source").alias("k"), F.bool_and(known(F.col("p")).isNotNull()).alias("whole"),
+        F.sum(_lookup(F.col("source"), used) * F.col("p")).alias("s"))
     return weighted.filter(F.col("k") == len(used)).select(
-        "case_id", "label", (F.col("s") / sum(used.values())).alias("p"))
+        "case_id", "label", F.when(F.col("whole"), F.col("s") / sum(used.values())).alias("p"))
 
 
 def equal_mean(predictions: DataFrame) -> DataFrame:
-    """(case_id, label, p): plain mean over models, folds or views."""
-    return predictions.groupBy("case_id", "label").agg(F.avg("p").alias("p"))
+    """(case_id, label, p): plain mean over models, folds or views; NULL where one of them is unknown."""
+    whole = F.bool_and(known(F.col("p")).isNotNull())
+    return predictions.groupBy("case_id", "label").agg(F.when(whole, F.avg("p")).alias("p"))
 
 
 def _one_row_per_cell(predictions: DataFrame, sources: list[str]) -> DataFrame:
     """(case_id, label, p0, p1, ...) over the cells that all sources have."""
     wide = predictions.filter(F.col("source").isin(sources)).groupBy("case_id", "label").agg(*[
-        F.max(F.when(F.col("source") == s, F.col("p"))).alias(f"p{i}") for i, s in enumerate(sources)])
+        F.max(F.when(F.col("source") == s, known(F.col("p")))).alias(f"p{i}") for i, s in enumerate(sources)])
     return wide.filter(" and ".join(f"p{i} is not null" for i in range(len(sources))))
 
 
@@ -177,13 +184,14 @@ def blend_groups(predictions: DataFrame, spec: tuple[str, dict[str, float]] | No
 def assemble_result(cases: DataFrame, blended: DataFrame, labels: list[str]) -> DataFrame:
     """One row per requested case with all labels in order.
 
-    Cases without a prediction get the column mean (0.5 if nothing was predicted at all); values are
-    limited to [0, 1]. `cases` may carry further columns such as a row index; they are kept.
+    Cases without a known prediction get the column mean of the known ones (0.5 if there is none); values are limited to
+    [0, 1]. `cases` may carry further columns such as a row index; they are kept.
     """
+    columns = [f"_p{i}" for i in range(len(labels))]
+    wide = written_table(blended.groupBy("case_id").agg(*[
+        F.max(F.when(F.col("label") == l, known(F.col("p")))).alias(c) for c, l in zip(columns, labels, strict=True)]), "blended")
     # One mean per label comes to the driver and goes into the plan as a constant.
-    mean = {r["label"]: r["m"] for r in blended.groupBy("label").agg(F.avg("p").alias("m")).collect()}
-    wide = blended.groupBy("case_id").agg(*[
-        F.max(F.when(F.col("label") == l, F.col("p"))).alias(f"_p{i}") for i, l in enumerate(labels)])
-    fill = [mean.get(l) if mean.get(l) is not None else 0.5 for l in labels]
+    mean = wide.agg(*[F.avg(c).alias(c) for c in columns]).head() if labels else {}
+    fill = [0.5 if mean[c] is None else mean[c] for c in columns]
     return cases.join(wide, "case_id", "left").select(
-        *cases.columns, *[clip(F.coalesce(f"_p{i}", F.lit(fill[i]))).alias(l) for i, l in enumerate(labels)])
+        *cases.columns, *[clip(F.coalesce(c, F.lit(fill[i]))).alias(labels[i]) for i, c in enumerate(columns)])

@@ -466,6 +466,24 @@ SQL["assembled_result"] = f"""with {ORDERS}, {PREDICTIONS},
 b as (select case_id, label, sum(p) / 2 as p from preds where source in ('disc', 'tax') group by all having count(distinct source) = 2),
 w as (select case_id, max(case when label = 'filled' then p end) as f, max(case when label = 'urgent' then p end) as u from b group by 1),
 m as (select avg(f) as f, avg(u) as u from w)
+select o.case_id, round(greatest(0, least(1, coalesce(w.f, m.f, 0.5))), 9) as filled,
+  round(greatest(0, least(1, coalesce(w.u, m.u, 0.5))), 9) as urgent from orders_w o left join w using (case_id), m"""
+GAPS = f"""{PREDICTIONS},
+gaps as (select source, case_id, label, case when cast(case_id as bigint) % 10 = 0 or (source = 'tax' and cast(case_id as bigint) % 7 = 1)
+  or (source = 'qty' and label = 'urgent') then null else p end as p from preds),
+gap_ranks as (select source, case_id, label, case when p is not null then
+  (rank() over (partition by source, label order by p nulls last) + (count(*) over (partition by source, label, p) - 1) / 2.0::double)
+  / count(p) over (partition by source, label) end as p from gaps)"""
+SQL["unknown_ranks"] = f"with {GAPS} select source, case_id, label, round(p, 9) as p from gap_ranks"
+SQL["unknown_blend"] = f"""with {GAPS}
+select case_id, label, case when count(p) = 3 then round(sum(case source when 'disc' then 0.5 else 0.25 end * p), 9) end as p
+from gap_ranks group by all having count(*) = 3"""
+SQL["unknown_mean"] = f"with {GAPS} select case_id, label, case when count(p) = count(*) then round(avg(p), 9) end as p from gaps group by all"
+SQL["unknown_result"] = f"""with {ORDERS}, {GAPS},
+b as (select case_id, label, case when count(p) = 3 then sum(case source when 'disc' then 0.5 else 0.25 end * p) end as p
+  from gaps group by all having count(*) = 3),
+w as (select case_id, max(case when label = 'filled' then p end) as f, max(case when label = 'urgent' then p end) as u from b group by 1),
+m as (select avg(f) as f, avg(u) as u from w)
 select o.case_id, round(greatest(0, least(1, coalesce(w.f, m.f, 0.5))), 9) as filled,
   round(greatest(0, least(1, coalesce(w.u, m.u, 0.5))), 9) as urgent from orders_w o left join w using (case_id), m"""
 SQL["result_problems"] = """

@@ -433,6 +433,32 @@ def rank_with_gaps(spark, sf):
     return ensemble.rank_normalize(gaps).select("source", "case_id", "label", r6("p", 9))
 
 
+@query
+def unknown_ranks(spark, sf):
+    """Ranks where scores are NULL or NaN: neither takes a rank."""
+    return ensemble.rank_normalize(v.order_predictions_with_gaps(spark, sf)).select("source", "case_id", "label", r6("p", 9))
+
+
+@query
+def unknown_blend(spark, sf):
+    """A blend in which a cell is unknown as soon as one used source has not scored it."""
+    blended = ensemble.blend(v.order_predictions_with_gaps(spark, sf), {"disc": 0.5, "qty": 0.25, "tax": 0.25}, "rank")
+    return blended.select("case_id", "label", r6("p", 9))
+
+
+@query
+def unknown_mean(spark, sf):
+    return ensemble.equal_mean(v.order_predictions_with_gaps(spark, sf)).select("case_id", "label", r6("p", 9))
+
+
+@query
+def unknown_result(spark, sf):
+    """The result of such blends: unknown cells get the column mean, a label without any score 0.5."""
+    blended = ensemble.blend(v.order_predictions_with_gaps(spark, sf), {"disc": 0.5, "qty": 0.25, "tax": 0.25}, "mean")
+    result = ensemble.assemble_result(v.orders(spark, sf).select("case_id"), blended, v.ORDER_LABELS)
+    return result.select("case_id", r6("filled", 9), r6("urgent", 9))
+
+
 @query
 def ensemble_weights(spark, sf):
     """Greedy forward selection; iterative, so without an SQL equivalent."""

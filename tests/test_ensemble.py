@@ -102,3 +102,20 @@ def test_merge_and_guard(spark):
         guards.check_no_leakage(merged, gold, LABELS, spark.createDataFrame([("b",)], "case_id string"))
     with pytest.raises(guards.LeakageError, match="report.*duplicate|duplicate.*report"):
         guards.check_no_leakage(merged.unionByName(merged).withColumn("Report", F.lit("x")), gold, LABELS)
+
+
+def test_unknown_scores_stay_unknown(spark):
+    nan = float("nan")
+    preds = spark.createDataFrame([("s", "a", "A", .2), ("s", "b", "A", nan), ("s", "c", "A", None), ("s", "d", "A", .9),
+                                   ("t", "a", "A", .4), ("t", "b", "A", .5), ("t", "c", "A", nan), ("t", "d", "A", None)],
+                                  "source string, case_id string, label string, p double")
+    ranks = {(r["source"], r["case_id"]): r["p"] for r in ensemble.rank_normalize(preds).collect()}
+    assert ranks == {("s", "a"): .5, ("s", "b"): None, ("s", "c"): None, ("s", "d"): 1.0,
+                     ("t", "a"): .5, ("t", "b"): 1.0, ("t", "c"): None, ("t", "d"): None}
+    for blended in (ensemble.blend(preds, {"s": .5, "t": .5}, "mean"), ensemble.equal_mean(preds)):
+        got = {r["case_id"]: r["p"] for r in blended.collect()}
+        assert got["a"] == pytest.approx(.3) and got["b"] is got["c"] is got["d"] is None
+    blended = spark.createDataFrame([("a", "A", .4), ("b", "A", nan), ("c", "A", None)], "case_id string, label string, p double")
+    cases = spark.createDataFrame([("a",), ("b",), ("c",), ("x",)], "case_id string")
+    got = {r["case_id"]: (r["A"], r["B"]) for r in ensemble.assemble_result(cases, blended, ["A", "B"]).collect()}
+    assert got == dict.fromkeys("abcx", (.4, .5))
