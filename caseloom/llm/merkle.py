@@ -135,10 +135,10 @@ def manifest(docs: DataFrame, tampered: Column) -> DataFrame:
     `tampered` marks the rows whose text is lower-cased (A-Z) before the climb; null counts as not tampered with.
     """
     spark = docs.sparkSession
-    leaves = row_numbers(_leaves(docs, tampered), ["lang"], [F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("rid")], "pos")
+    leaves = row_numbers(_leaves(docs, tampered), ["lang"], [F.col("doc_id"), F.col("leaf"), F.col("rid")], "pos")
     leaves = written_table(leaves.select("lang", "doc_id", "leaf", "other", "pos"), "merkle-rows")
     names = leaves.groupBy("lang").agg(F.count("*").alias("leaves"))
-    trees = written_table(row_numbers(names, [], [F.col("lang").asc_nulls_first()], "t"), "merkle-trees")
+    trees = written_table(row_numbers(names, [], [F.col("lang")], "t"), "merkle-trees")
     count = trees.count()
     same = leaves["lang"].eqNullSafe(trees["lang"])
     placed = leaves.join(trees, same).select("t", F.col("leaves").alias("n"), "pos", "doc_id", "leaf", "other")
