@@ -19,16 +19,16 @@ STEP_GAIN = 1e-6
 
 def rank_normalize(predictions: DataFrame) -> DataFrame:
     """p becomes its average rank within (source, label) as a fraction in (0, 1]; ties share a rank, unknown ones have none."""
-    keys, cells = ["source", "label"], ["source", "case_id", "label"]
-    cleaned = predictions.withColumn("p", known(F.col("p")))
-    ties = cleaned.filter("p is not null").groupBy(*keys, "p").agg(F.count("*").alias("n"))
-    placed = running_totals(ties, keys, [F.col("p")], {"below": F.col("n")})
-    size = placed.groupBy(*keys).agg(F.sum("n").alias("size"))
+    keys = ["source", "label"]
+    # Unknown scores have nothing to join; any share of the rows may be unknown, so a salt spreads them.
+    salt = F.when(F.col("p").isNull(), F.pmod(F.xxhash64("case_id"), F.lit(1 << 16))).otherwise(0)
+    cleaned = predictions.withColumn("p", known(F.col("p"))).withColumn("_salt", salt)
+    ties = written_table(cleaned.filter("p is not null").groupBy(*keys, "p").agg(F.count("*").alias("n")), "scores")
+    size = ties.groupBy(*keys).agg(F.sum("n").alias("size"))
     rank = (F.col("below") + (F.col("n") + 1) / 2) / F.col("size")
-    ranks = placed.join(size, keys).select(*keys, "p", rank.alias("rank"))
-    # Unknown scores have nothing to join; any share of the rows may be unknown.
-    return cleaned.filter("p is not null").join(ranks, [*keys, "p"]).select(*cells, F.col("rank").alias("p")).unionByName(
-        cleaned.filter("p is null").select(*cells, F.lit(None).cast("double").alias("p")))
+    ranks = running_totals(ties, keys, [F.col("p")], {"below": F.col("n")}).join(size, keys).select(
+        *keys, "p", F.lit(0).alias("_salt"), rank.alias("rank"))
+    return cleaned.join(ranks, [*keys, "p", "_salt"], "left").select("source", "case_id", "label", F.col("rank").alias("p"))
 
 
 def common_cases(predictions: DataFrame, sources: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written_table
 from .prefix import RANGE, running_totals, with_ranges
 
 
@@ -62,9 +63,9 @@ def macro_auc(per_label: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def label_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, positives, auc, ap, f1_at_half, best_f1) from one pass over the score curve."""
-    hist = histogram(scored, keys)
-    curve = running_totals(hist, keys, [F.col("p").desc()], {"tp0": F.col("pos"), "fp0": F.col("neg")})
-    size = curve.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    hist = written_table(histogram(scored, keys), "histogram")
+    curve = running_totals(hist, keys, [-F.col("p")], {"tp0": F.col("pos"), "fp0": F.col("neg")})
+    size = hist.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     curve = curve.join(size, keys).withColumns({"tp": F.col("tp0") + F.col("pos"), "fp": F.col("fp0") + F.col("neg")})
     tp, fp, n_pos, n_neg = F.col("tp"), F.col("fp"), F.col("n_pos"), F.col("n_neg")
     half = F.col("p") >= 0.5
@@ -131,7 +132,7 @@ def bootstrap_auc(scored: DataFrame, keys: list[str], replicates: int = 200, see
     fixed-size bootstrap statistically, not digit by digit. Single-class resamples are left out.
     """
     # Cells move before they multiply: one task holds a score range, and all its replicates stay there.
-    cells = with_ranges(histogram(scored, keys), keys, [F.col("p")]).repartition(RANGE)
+    cells = with_ranges(written_table(histogram(scored, keys), "histogram"), keys, [F.col("p")])
     cells = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     who = [*[F.col(k) for k in keys], F.col("p"), F.col("rep")]
     drawn = cells.select(*keys, "rep", "p", RANGE, poisson_weight(F.col("pos"), *who, F.lit(1), seed=seed).alias("pos"),

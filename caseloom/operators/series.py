@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import along_normal, plane_from_orientation, vector_or_null
 from ..schema import PLANES, TYPICAL_SLICES
-from ..session import checkpoint
+from ..session import checkpoint, written_table
 from .prefix import row_numbers
 
 SERIES = ["case_id", "series_id"]
@@ -117,9 +117,9 @@ def ordered_and_dropped(headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = place.filter("_at is not null").groupBy(*SERIES, "_at").agg(F.min(F.struct("key", "path"))["path"].alias("_keep"))
     place = place.join(first, [*SERIES, "_at"], "left")
     repeated = F.col("_at").isNotNull() & (F.col("path") != F.col("_keep")) & F.col("position").isNotNull()
-    unique = place.filter(~repeated).drop("_at", "_keep")
+    unique = written_table(place.filter(~repeated).drop("_at", "_keep"), "unique-slices")
     numbered = row_numbers(unique, SERIES, [F.col("key"), F.col("path")], "slice_idx")
-    plane = numbered.filter("orientation is not null").groupBy(*SERIES).agg(F.min_by("orientation", "slice_idx").alias("_o"))
+    plane = unique.filter("orientation is not null").groupBy(*SERIES).agg(F.min_by("orientation", F.struct("key", "path")).alias("_o"))
     ordered = numbered.join(plane, SERIES, "left").withColumn("inferred_plane", plane_from_orientation(F.col("_o"))).drop("_o")
     reasons = {
         "bad_header": headers.filter(~readable).groupBy(*SERIES).agg(F.count("*").alias("n")),
