@@ -61,20 +61,20 @@ def letterbox(h: Column, w: Column, size: int, row_mm: Column, col_mm: Column) -
                     F.floor((size - new_w) / 2).cast("int").alias("left"))
 
 
-def is_selected(index: Column, n: Column, limit: int) -> Column:
-    """Whether slice `index` of n is among at most `limit` evenly spaced ones.
+def selected_number(index: Column, n: Column, limit: int) -> Column:
+    """The number of slice `index` of n among at most `limit` evenly spaced ones; NULL if it is not chosen.
 
-    Index j of the choice is rint(j * (n - 1) / (limit - 1)); a slice is chosen if that holds for one of
-    the two values of j next to its own share.
+    Number j of the choice is slice rint(j * (n - 1) / (limit - 1)); only the values of j next to a slice's own share can be it.
     """
-    if limit <= 0:
-        return F.lit(True)
-    if limit == 1:
-        return (n <= 1) | (index == 0)
+    whole = F.when((n <= limit) | F.lit(limit <= 0), index.cast("long"))
+    if limit <= 1:
+        return whole if limit <= 0 else F.coalesce(whole, F.when(index == 0, index.cast("long")))
     step = (n - 1) / F.lit(float(limit - 1))
-    j = F.floor(index / step)
-    near = [F.greatest(F.lit(0), F.least(F.lit(limit - 1), j + d)) for d in (-1, 0, 1, 2)]
-    hit = near[0] != near[0]
-    for k in near:
-        hit = hit | (F.rint(k * step) == index)
-    return (n <= limit) | hit
+    own = F.floor(index / step)
+    near = [F.greatest(F.lit(0), F.least(F.lit(limit - 1), own + d)) for d in (-1, 0, 1, 2)]
+    return F.coalesce(whole, *[F.when(F.rint(j * step) == index, j.cast("long")) for j in near])
+
+
+def is_selected(index: Column, n: Column, limit: int) -> Column:
+    """Whether slice `index` of n is among at most `limit` evenly spaced ones."""
+    return selected_number(index, n, limit).isNotNull()

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import is_selected, letterbox
+from ..functions.geometry import letterbox, selected_number
 from ..functions.numeric import clip
 from ..functions.resample import letterboxed
-from .prefix import row_numbers, running_totals, sample_cases, seeded_order
+from . import radix
+from .prefix import row_numbers, sample_cases, seeded_order
 
 VOLUME = ["case_id", "series_id"]
 CHUNK = 256  # slices a window task holds at once
@@ -66,43 +67,36 @@ def normalise_frames(frames: DataFrame) -> DataFrame:
 def window_bounds(volume: DataFrame, window: str = "standard") -> DataFrame:
     """(case_id, series_id, lo, hi): percentiles of the foreground, that is of all values above the minimum.
 
-    With 100 foreground values or fewer the whole volume counts. Exact and interpolated, from the
-    histogram of values and its running totals.
+    With 100 foreground values or fewer the whole volume counts. Exact and interpolated, see `operators/radix.py`.
     """
     quantiles = [q / 100 for q in WINDOWS[window]]
-    values = volume.select(*VOLUME, F.explode("pixels").alias("v")).withColumn("v", F.col("v").cast("double"))
-    hist = values.groupBy(*VOLUME, "v").agg(F.count("*").alias("n"))
-    placed = running_totals(hist, VOLUME, [F.col("v")], {"below": F.col("n")})
-    size = placed.groupBy(*VOLUME).agg(F.sum("n").alias("total"), F.min_by("n", "v").alias("floor_n"))
+    size = radix.extent(volume, VOLUME)
     foreground = F.col("total") - F.col("floor_n")
     whole = foreground <= SMALL_FOREGROUND
     size = size.select(*VOLUME, F.when(whole, F.lit(0)).otherwise(F.col("floor_n")).alias("skip"),
                        F.when(whole, F.col("total")).otherwise(foreground).alias("m"))
-    ranked = placed.join(size, VOLUME)
+    places = [F.lit(q) * (F.col("m") - 1) for q in quantiles]
+    ranks = size.select(*VOLUME, "m", F.array(*[
+        (F.col("skip") + f(p)).cast("long") for p in places for f in (F.floor, F.ceil)]).alias("ranks"))
+    found = radix.values_at(volume, VOLUME, ranks.select(*VOLUME, "ranks")).join(ranks.select(*VOLUME, "m"), VOLUME)
 
-    def at(rank: Column) -> Column:
-        here = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
-        return F.max(F.when(here, F.col("v")))
+    def interpolated(i: int) -> Column:
+        low, high = F.col("values")[2 * i], F.col("values")[2 * i + 1]
+        return low + (high - low) * (places[i] - F.floor(places[i]))
 
-    aggregates = []
-    for i, q in enumerate(quantiles):
-        place = F.lit(q) * (F.col("m") - 1)
-        aggregates += [at(F.col("skip") + F.floor(place)).alias(f"a{i}"), at(F.col("skip") + F.ceil(place)).alias(f"b{i}")]
-    found = ranked.groupBy(*VOLUME).agg(F.first("m").alias("m"), *aggregates)
+    return found.select(*VOLUME, interpolated(0).alias("lo"), interpolated(1).alias("hi"))
 
-    def interpolated(i: int, q: float) -> Column:
-        place = F.lit(q) * (F.col("m") - 1)
-        return F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place - F.floor(place))
 
-    return found.select(*VOLUME, interpolated(0, quantiles[0]).alias("lo"), interpolated(1, quantiles[1]).alias("hi"))
+def _windowed(pixels: str) -> Column:
+    """Pixels limited to [lo, hi] and scaled to [0, 1]; zero where the window is empty."""
+    lo, hi = F.col("lo"), F.col("hi")
+    empty = F.coalesce((hi <= lo) | F.isnan(lo) | F.isnan(hi), F.lit(True))
+    return F.transform(pixels, lambda v: F.when(empty, 0.0).otherwise(clip((v - lo) / (hi - lo))).cast("float"))
 
 
 def apply_window(volume: DataFrame, bounds: DataFrame) -> DataFrame:
     """Pixels limited to [lo, hi] and scaled to [0, 1]; zero where the window is empty."""
-    lo, hi = F.col("lo"), F.col("hi")
-    empty = F.coalesce((hi <= lo) | F.isnan(lo) | F.isnan(hi), F.lit(True))
-    scaled = F.transform("pixels", lambda v: F.when(empty, 0.0).otherwise(clip((v - lo) / (hi - lo))).cast("float"))
-    return volume.join(bounds, VOLUME).withColumn("pixels", scaled).drop("lo", "hi")
+    return volume.join(bounds, VOLUME).withColumn("pixels", _windowed("pixels")).drop("lo", "hi")
 
 
 def window_volume(volume: DataFrame, window: str = "standard") -> DataFrame:
@@ -110,11 +104,18 @@ def window_volume(volume: DataFrame, window: str = "standard") -> DataFrame:
 
 
 def select_slices(volume: DataFrame, max_slices: int) -> DataFrame:
-    """At most `max_slices` evenly spaced slices per volume, renumbered from 0 as `slice_idx`."""
+    """At most `max_slices` evenly spaced slices per volume, renumbered from 0 as `slice_idx`.
+
+    Slices are numbered from 0 without gaps, so the new number follows from the old one and the count.
+    """
     n = volume.groupBy(*VOLUME).agg(F.count("*").alias("_n"))
-    kept = volume.join(n, VOLUME).filter(is_selected(F.col("slice_idx"), F.col("_n"), max_slices)).drop("_n")
-    kept = kept.withColumnRenamed("slice_idx", "source_idx")
-    return row_numbers(kept, VOLUME, [F.col("source_idx")], "slice_idx")
+    return _chosen(volume.join(n, VOLUME), max_slices)
+
+
+def _chosen(counted: DataFrame, max_slices: int) -> DataFrame:
+    """The chosen ones of slices that know the count (`_n`) of their volume."""
+    numbered = counted.withColumn("_no", selected_number(F.col("slice_idx"), F.col("_n"), max_slices))
+    return numbered.filter("_no is not null").withColumnRenamed("slice_idx", "source_idx").withColumnRenamed("_no", "slice_idx").drop("_n")
 
 
 def resize(volume: DataFrame, size: int, keep_aspect: bool = True) -> DataFrame:
@@ -158,10 +159,20 @@ def _floats_of(stored: pa.Array) -> pa.Array:
 
 
 def preprocess(volume: DataFrame, config: PreprocessConfig = PreprocessConfig()) -> DataFrame:
-    """Window over the full series, then choose slices, resize and store."""
-    windowed = window_volume(volume, config.window)
-    chosen = select_slices(windowed, config.max_slices)
-    return to_storage(resize(chosen, config.img_size, config.keep_aspect), config.dtype).drop("pixels")
+    """Window over the full series, then choose slices, resize and store.
+
+    Bounds and counts meet the frames in one join, and only chosen frames are windowed.
+    """
+    n = volume.groupBy(*VOLUME).agg(F.count("*").alias("_n"))
+    facts = window_bounds(volume, config.window).join(n, VOLUME)
+    chosen = _chosen(volume.join(facts, VOLUME), config.max_slices)
+    return stored_frames(chosen, config)
+
+
+def stored_frames(chosen: DataFrame, config: PreprocessConfig) -> DataFrame:
+    """Frames with `lo` and `hi`, windowed, resized and stored."""
+    windowed = chosen.withColumn("pixels", _windowed("pixels")).drop("lo", "hi")
+    return to_storage(resize(windowed, config.img_size, config.keep_aspect), config.dtype).drop("pixels")
 
 
 def series_log(routes: DataFrame, stored: DataFrame, raw: DataFrame, dropped: DataFrame) -> DataFrame:
