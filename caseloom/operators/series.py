@@ -106,6 +106,12 @@ def ordered_and_dropped(headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     Dropped are unreadable headers, slices off the majority size, and slices with a position that repeats
     one of the series to a thousandth (the first in order stays).
     """
+    ordered, reasons = ordered_with_reasons(headers)
+    return ordered, drop_counts(reasons)
+
+
+def ordered_with_reasons(headers: DataFrame) -> tuple[DataFrame, list[tuple[str, DataFrame]]]:
+    """Ordered slices, and for each reason the numbers (case_id, series_id, n) of dropped ones."""
     readable = F.col("readable") if "readable" in headers.columns else F.lit(True)
     good = headers.filter(readable)
     size = majority_size(good).withColumnRenamed("rows", "_r").withColumnRenamed("cols", "_c")
@@ -121,18 +127,18 @@ def ordered_and_dropped(headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbered = row_numbers(unique, SERIES, [F.col("key"), F.col("path")], "slice_idx")
     plane = unique.filter("orientation is not null").groupBy(*SERIES).agg(F.min_by("orientation", F.struct("key", "path")).alias("_o"))
     ordered = numbered.join(plane, SERIES, "left").withColumn("inferred_plane", plane_from_orientation(F.col("_o"))).drop("_o")
-    reasons = {
-        "bad_header": headers.filter(~readable).groupBy(*SERIES).agg(F.count("*").alias("n")),
-        "off_size": sized.filter(~F.col("_fits")).groupBy(*SERIES).agg(F.count("*").alias("n")),
-        "duplicate_position": place.filter(repeated).groupBy(*SERIES).agg(F.count("*").alias("n")),
-    }
-    return ordered, drop_counts(reasons)
+    return ordered, [
+        ("bad_header", headers.filter(~readable).groupBy(*SERIES).agg(F.count("*").alias("n"))),
+        ("off_size", sized.filter(~F.col("_fits")).groupBy(*SERIES).agg(F.count("*").alias("n"))),
+        ("duplicate_position", place.filter(repeated).groupBy(*SERIES).agg(F.count("*").alias("n"))),
+    ]
 
 
-def drop_counts(reasons: dict[str, DataFrame]) -> DataFrame:
-    """(case_id, series_id, dropped): map of reason to count, positive counts only."""
+def drop_counts(reasons: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(case_id, series_id, dropped): map of reason to count, positive counts only. A reason may occur in several tables."""
     long = reduce(DataFrame.unionByName, [
-        df.select(*SERIES, F.lit(reason).alias("reason"), "n") for reason, df in reasons.items()])
+        df.select(*SERIES, F.lit(reason).alias("reason"), "n") for reason, df in reasons])
+    long = long.groupBy(*SERIES, "reason").agg(F.sum("n").alias("n"))
     return long.filter("n > 0").groupBy(*SERIES).agg(F.map_from_entries(
         F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("dropped"))
 

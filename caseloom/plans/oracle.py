@@ -636,6 +636,55 @@ found as (
   union all select 'studies_not_cached', case_id from orders_w where case_id not in (select case_id from manifest))
 select kind, count(*) as n, min(w) as example, case when kind = 'series_count_differs_from_table' then 'note' else 'fail' end as severity
 from found group by kind"""
+INGEST = """
+files as (
+  select label, vec_id // 20 as z, label = 4 or (vec_id % 17 = 3 and label not in (2, 8)) as bad, vec_id % 13 = 5 as odd,
+    (vec_id // 20) % 19 = 7 or label = 7 as lost, (vec_id // 20) % 23 = 9 as turned from embeddings),
+counted as (select label, count(*) as n_files, count(*) filter (bad) as bad, count(*) filter (odd and not bad) as odd from files group by 1),
+places as (select label, z, lost, turned, count(*) as n from files where not bad and not odd group by all),
+good as (
+  select label, sum(n)::bigint - count(*) as twice, count(*) filter (lost) as failed, count(*) filter (turned and not lost) as turned,
+    count(*) filter (not turned and not lost) as raw,
+    concat_ws(',', case when bool_or(z % 2 = 0) filter (not turned and not lost) then 'explicit' end,
+      case when bool_or(z % 2 = 1) filter (not turned and not lost) then 'implicit' end) as syntaxes from places group by 1),
+one as (
+  select *, ['sagittal', 'coronal', 'axial'][label % 3 + 1] as plane, cast(label // 3 as varchar) as case_id, cast(label as varchar) as series_id,
+    case when label = 8 then 0 else cast(label % 2 as int) end as fluid, case when label % 4 = 0 and label <> 8 then 1 else 0 end as fatsat,
+    coalesce(raw, 0) as n_raw, coalesce(odd, 0) + coalesce(turned, 0) as off, coalesce(raw, 0) > 0 as fine
+  from counted left join good using (label)),
+log as (select *, plane as key from one union all select *, plane || '_t1' from one where fluid = 0)"""
+SQL["ingested_series"] = f"""with {INGEST}
+select case_id, key, series_id, fluid, fatsat, n_files, n_raw as n_raw_slices, least(n_raw, 12) as n_saved_slices,
+  '{{' || concat_ws(',', case when bad > 0 then '"bad_header":' || bad end, case when failed > 0 then '"decode_failed":' || failed end,
+    case when twice > 0 then '"duplicate_position":' || twice end, case when off > 0 then '"off_size":' || off end) || '}}' as dropped_json,
+  case when fine then 8 end as raw_h, case when fine then 8 end as raw_w, case when fine then plane end as inferred_plane,
+  case when fine then syntaxes end as syntaxes, case when fine then label + 2.0::double end as spacing,
+  case when not fine then 'DecodeError' end as error from log"""
+SQL["ingested_studies"] = f"""with {INGEST}
+select case_id, count(*) filter (key = plane and label <> 8) + 1 as n_series_listed, count(*) filter (key = plane) as n_series_stored, null as study_error,
+  """ + ", ".join(f"""max(case when key = '{p}' and fine then 1 else 0 end) as has_{p}, max(case when key = '{p}' and fine then least(n_raw, 12) else 0 end) as n_slices_{p},
+  max(case when key = '{p}' then series_id end) as {p}_series""" for p in ("sagittal", "coronal", "axial")) + """,
+  count(*) filter (not fine) as n_series_errors, 'lost' as missing, count(*) filter (key = plane and label = 8) as series_not_listed,
+  '{' || string_agg('"' || key || '":"' || series_id || '"', ',' order by key) || '}' as routes,
+  string_agg(key, ',' order by key) filter (fine) as saved_keys, 12 as max_slices from log group by 1"""
+SQL["ingest_problems"] = f"""with {INGEST},
+studies as (select case_id, count(*) filter (key = plane and label <> 8) + 1 as listed, count(*) filter (key = plane) as stored, bool_or(fine) as fine from log group by 1),
+found as (
+  select 'series_count_differs_from_table' as kind, case_id as place from studies where listed <> stored
+  union all select 'no_planes', case_id from studies where not fine
+  union all select 'studies_not_cached', 'undelivered')
+select kind, count(*) as n, min(place) as example, case kind when 'series_count_differs_from_table' then 'note' else 'fail' end as severity from found group by 1"""
+_SQUARE = ("select o, k, w / sum(w) over (partition by o) as w from (select o, k, greatest(0, 1 - abs(k + 0.5::double - (o + 0.5::double) * (8.0::double / 6)) / (8.0::double / 6)) as w "
+           "from range(6) a(o), range(8) b(k))")
+SQL["preprocessed"] = f"""with {_choice(12).replace(VOLUMES, PIXELS)}, {BOUNDS}, {_bounds(0.005, 0.995)},
+numbered as (select series_id, source_idx, row_number() over (partition by series_id order by source_idx) - 1 as no from picks),
+win as (select p.series_id, no as slice_idx, i, greatest(0, least(1, (v - lo) / (hi - lo)))::float::double as v
+  from pix p join bounds using (series_id) join numbered c on c.series_id = p.series_id and c.source_idx = p.slice_idx),
+axis as ({_SQUARE}),
+small as (
+  select series_id, slice_idx, y.o * 6 + x.o as i, sum(y.w * x.w * v)::float::double as v
+  from win join axis y on y.k = win.i // 8 join axis x on x.k = win.i % 8 where y.w > 0 and x.w > 0 group by all)
+select series_id, slice_idx, string_agg(printf('%02X', cast(round_even(v::float * 255::float, 0) as int)), '' order by i) as stored from small group by all"""
 SQL["frame_sizes"] = f"with {HEADERS} select rows as h, cols as w, 'uint8' as dtype, count(*) as slices from headers group by all"
 SQL["stored_volumes"] = f"""with {PIXELS},
 x as (select series_id, slice_idx, i, (round_even(greatest(0, least(1, abs(v))) * 255, 0) / 255.0::double)::float::double as v from pix

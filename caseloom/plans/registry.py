@@ -17,7 +17,7 @@ from ..session import checkpoint, shared_dir
 from ..sources import cases as case_sources
 from ..sources import predictions, runlog, volumes as volume_sources
 from ..streaming import ingest
-from . import views as v
+from . import study, views as v
 from .mining import MiningConfig, candidates, mine_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -767,6 +767,42 @@ def cache_problems(spark, sf):
     return inventory.cache_problems(_manifest(spark, sf), facts, v.orders(spark, sf).select("case_id"))
 
 
+def _ingested(spark, sf) -> study.StudyIngest:
+    return study.ingest_studies(v.study_files(spark, sf), v.study_series(spark, sf), v.read_slice_header, [("json", v.decode_slice)],
+                                volume.PreprocessConfig(img_size=6, max_slices=12), extra_t1=True)
+
+
+@query
+def ingested_series(spark, sf):
+    """Slice files written, read, routed, ordered, decoded and stored: the log of every routed series."""
+    return _ingested(spark, sf).log.select(
+        "case_id", "key", "series_id", "fluid", "fatsat", "n_files", "n_raw_slices", "n_saved_slices", "dropped_json", "raw_h", "raw_w",
+        "inferred_plane", F.array_join("transfer_syntaxes", ",").alias("syntaxes"), F.col("pixel_spacing")[1].alias("spacing"),
+        F.element_at(F.split("error", ":"), 1).alias("error"))
+
+
+@query
+def ingested_studies(spark, sf):
+    """The nested study records of the same files, with the manifest."""
+    found = _ingested(spark, sf)
+    counted = F.map_filter("series", lambda _, entry: entry["error"].isNull())
+    records = found.studies.select(
+        "case_id", F.array_join("series_missing_on_disk", ",").alias("missing"), "series_not_listed", F.to_json("routes").alias("routes"),
+        F.array_join(F.map_keys(counted), ",").alias("saved_keys"), F.col("config.max_slices").alias("max_slices"))
+    return found.manifest.join(records, "case_id")
+
+
+@query
+def ingest_problems(spark, sf):
+    """Everything written, read back and checked against the manifest; one study was never delivered."""
+    path = f"{shared_dir(spark).rstrip('/')}/studies/{uuid.uuid4().hex}"
+    _ingested(spark, sf).write(path)
+    stored = volume_sources.read_volumes(spark, f"{path}/volumes")
+    manifest = volume_sources.read_manifest(spark, f"{path}/manifest")
+    expected = manifest.select("case_id").unionByName(manifest.select(F.lit("undelivered").alias("case_id")))
+    return inventory.cache_problems(manifest, inventory.volume_facts(stored), expected)
+
+
 @query
 def frame_sizes(spark, sf):
     return inventory.frame_sizes(v.slice_headers(spark, sf).select(

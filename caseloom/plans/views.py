@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,8 @@ from ..functions.regex import any_of
 from ..operators.prefix import row_numbers
 from ..operators.rules import Cues, Rule, RuleBook
 from ..schema import PLANES
-from ..session import spread
+from ..session import shared_dir, spread
+from ..sources.files import slice_files
 
 DOC_LABELS = ["quality", "toxic"]
 ORDER_LABELS = ["filled", "urgent"]
@@ -158,6 +163,52 @@ def listed_series(spark: SparkSession, sf: str) -> DataFrame:
     return seen.unionByName(own)
 
 
+def study_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as one slice file each, written and listed: label = series, three labels a case, plane by orientation.
+
+    Some have no header, some another size, some share a place, some do not decode or decode to another size; one series is
+    unreadable throughout and one does not decode at all.
+    """
+    place, label = F.floor(F.col("vec_id") / 20), F.col("label")
+    directions = F.array(*[F.array(*[F.lit(float(v)) for v in d]) for d in ([0, 1, 0, 0, 0, -1], [1, 0, 0, 0, 0, -1], [1, 0, 0, 0, 1, 0])])
+    odd = F.pmod("vec_id", F.lit(13)) == 5
+    lost = (place % 19 == 7) | (label == 7)
+    content = F.to_json(F.struct(
+        F.col("vec_id").alias("instance_number"), F.transform(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), lambda x: x * place).alias("position"),
+        directions[F.pmod("label", F.lit(3))].alias("orientation"), F.array(label + 1.0, label + 2.0).alias("pixel_spacing"),
+        F.when(odd, 4).otherwise(8).alias("rows"), F.when(odd, 16).otherwise(8).alias("cols"),
+        F.when(place % 2 == 0, "explicit").otherwise("implicit").alias("transfer_syntax"),
+        F.when(odd, F.array(F.lit(4), F.lit(16))).when(place % 23 == 9, F.array(F.lit(16), F.lit(4))).otherwise(F.array(F.lit(8), F.lit(8))).alias("shape"),
+        F.when(lost, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")).alias("pixels")))
+    rows = table(spark, sf, "embeddings").select(
+        F.floor(label / 3).cast("string").alias("case_id"), label.cast("string").alias("series_id"),
+        F.when((label == 4) | ((F.pmod("vec_id", F.lit(17)) == 3) & ~label.isin(2, 8)), "corrupt").otherwise(content).alias("value"))
+    root = f"{shared_dir(spark).rstrip('/')}/slices/{uuid.uuid4().hex}"
+    rows.repartition("case_id", "series_id").write.option("maxRecordsPerFile", 1).partitionBy("case_id", "series_id").text(root)
+    return slice_files(spark, root, "*.txt")
+
+
+def study_series(spark: SparkSession, sf: str) -> DataFrame:
+    """The series table of those files: one series is not in it, and one a case has no files."""
+    labels = table(spark, sf, "embeddings").select("label").distinct()
+    plane = F.element_at(F.array(*[F.lit(p) for p in PLANES]), F.pmod("label", F.lit(3)) + 1)
+    case_id = F.floor(F.col("label") / 3).cast("string").alias("case_id")
+    own = labels.filter("label <> 8").select(
+        case_id, F.col("label").cast("string").alias("series_id"), F.pmod("label", F.lit(2)).cast("int").alias("fluid"),
+        (F.pmod("label", F.lit(4)) == 0).cast("int").alias("fatsat"), F.when(F.col("label") != 2, plane).alias("plane"))
+    lost = labels.select(case_id, F.lit("lost").alias("series_id"), F.lit(1).alias("fluid"), F.lit(1).alias("fatsat"), F.lit("axial").alias("plane")).distinct()
+    return own.unionByName(lost)
+
+
+def read_slice_header(content: bytes) -> dict:
+    return json.loads(content)
+
+
+def decode_slice(content: bytes) -> dict:
+    got = json.loads(content)
+    return {"transfer_syntax": got["transfer_syntax"], "pixels": np.array(got["pixels"], np.float32).reshape(got["shape"])}
+
+
 def volumes(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as 8 x 8 frames: a label is a series, three labels in a row are the planes of a case."""
     rows = table(spark, sf, "embeddings").select(
