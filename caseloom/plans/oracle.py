@@ -414,6 +414,10 @@ select case_id, customer, case when cast(case_id as bigint) % 5 = 2 then 'valida
 SQL["fold_summary"] = f"""with {ORDERS}
 select cast(customer % 5 as int) as fold, count(*) as studies, count(*) filter (filled is not null or urgent is not null) as labeled,
   count(*) filter (filled >= 0.5) as filled, count(*) filter (urgent >= 0.5) as urgent from orders_w group by 1"""
+SQL["fold_balance"] = f"""with {ORDERS}
+select measure, 5 as folds, n as total, true as balanced from (
+  select 'studies' as measure, count(*) as n from orders_w union all select 'labeled', count(*) filter (filled is not null or urgent is not null) from orders_w
+  union all select 'filled', count(*) filter (filled >= 0.5) from orders_w union all select 'urgent', count(*) filter (urgent >= 0.5) from orders_w)"""
 SQL["leaking_groups"] = "select o_custkey as customer from orders group by 1 having count(distinct o_orderkey % 5) > 1"
 SQL["shards"] = f"""with {ORDERS}, r as (select case_id, row_number() over (order by case_id) - 1 as r from orders_w)
 select case_id from r where r % 3 = 1"""

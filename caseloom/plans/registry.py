@@ -341,6 +341,17 @@ def multilabel_folds(spark, sf):
     return folds.fold_summary(v.orders(spark, sf), assigned, v.ORDER_LABELS)
 
 
+@query
+def fold_balance(spark, sf):
+    """Per label: positives of all folds, and whether every fold has its share of them and of cases within 5 % (or 2)."""
+    assigned = folds.multilabel_folds(v.orders(spark, sf), v.ORDER_LABELS, 5, 42)
+    table = folds.fold_summary(v.orders(spark, sf), assigned, v.ORDER_LABELS)
+    columns = ["studies", "labeled", *v.ORDER_LABELS]
+    long = table.select("fold", F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("long").alias("n")) for c in columns])))
+    slack = F.greatest(F.lit(2.0), 0.05 * F.avg("n"))
+    return long.groupBy("measure").agg(F.count("*").alias("folds"), F.sum("n").alias("total"), (F.max("n") - F.min("n") <= slack).alias("balanced"))
+
+
 @query
 def split_cases(spark, sf):
     """Training and validation cases of one fold."""
