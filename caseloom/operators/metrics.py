@@ -8,14 +8,19 @@ of all rows is a single row after map-side aggregation.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written_table
 from .prefix import RANGE, running_totals, with_ranges
 
+DIGITS = 5  # to the base 16, of a number of resampled rows
+
 
 def histogram(scored: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, p, pos, neg) over known cells with a score; soft truth counts as positive from 0.5."""
@@ -97,31 +102,53 @@ def compare_sources(scored: DataFrame, sources: list[str]) -> tuple[DataFrame, D
     return side, means
 
 
+@lru_cache(maxsize=256)
+def _poisson_table(mean: int) -> tuple[int, np.ndarray]:
+    """(first, cumulative probabilities from there on): all values of a Poisson variable that 53 bits can tell from certain."""
+    width = 10 * math.sqrt(mean) + 30
+    k = np.arange(max(0, math.floor(mean - width)), math.ceil(mean + width) + 1, dtype=float)
+    gamma = np.cumsum(np.log(np.maximum(k, 1)))  # log k! up to the constant log (first)! below
+    return int(k[0]), np.cumsum(np.exp(k * math.log(mean) - mean - (gamma - gamma[0]) - math.lgamma(k[0] + 1)))
+
+
+@F.arrow_udf(T.LongType())
+def _poisson(n: pa.Array, uniforms: pa.Array) -> pa.Array:
+    """One Poisson draw a row, as a sum of independent ones whose means are the digits of n to the base 16.
+
+    Each is drawn by inversion. Above the last digit, n is cut into as many draws of mean 16 ** DIGITS as it holds.
+    """
+    n = n.to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(uniforms.value_lengths().to_numpy(zero_copy_only=False))])
+    flat, total = uniforms.flatten().to_numpy(zero_copy_only=False), np.zeros(len(n), np.int64)
+    for level in range(DIGITS):
+        digit = (n >> (4 * level)) & 15
+        for d in range(1, 16):
+            rows = np.flatnonzero(digit == d)
+            if len(rows):
+                first, table = _poisson_table(d << (4 * level))
+                total[rows] += first + np.searchsorted(table, flat[ends[rows] + level], "left")
+    first, table = _poisson_table(1 << (4 * DIGITS))
+    for row in np.flatnonzero(n >> (4 * DIGITS)):
+        u = flat[ends[row] + DIGITS:ends[row + 1]]
+        total[row] += first * len(u) + np.searchsorted(table, u, "left").sum()
+    return pa.array(total, pa.int64())
+
+
 def poisson_weight(n: Column, *identity: Column, seed: int) -> Column:
     """A Poisson(n) draw that depends on nothing but its identity.
 
-    n resampled rows that share one score are n independent Poisson(1) weights, and only their sum
-    matters. Up to 30 rows it is drawn by inversion; above, by the normal approximation.
+    n resampled rows that share one score are n independent Poisson(1) weights, and only their sum matters. The uniforms are
+    52 bits of md5 over seed, identity and the number of the digit they serve.
     """
-    def uniform(salt: int) -> Column:
-        bits = F.xxhash64(F.lit(seed), F.lit(salt), *identity)
-        return (F.shiftrightunsigned(bits, 11).cast("double") + 0.5) / float(2 ** 53)
-
-    u = uniform(1)
-    one, prob, below = F.lit(0), math.exp(-1), 0.0
-    for k in range(1, 18):
-        below += prob
-        prob /= k
-        one = one + (u > below).cast("int")
-    first = F.exp(-n.cast("double"))
-    start = F.struct(F.lit(0).alias("k"), first.alias("prob"), first.alias("cdf"))
-    steps = F.sequence(F.lit(1), (n + 8 * F.ceil(F.sqrt(n.cast("double"))) + 8).cast("int"))
-    few = F.aggregate(steps, start, lambda s, i: F.when(u <= s["cdf"], s).otherwise(F.struct(
-        i.alias("k"), (s["prob"] * n / i).alias("prob"), (s["cdf"] + s["prob"] * n / i).alias("cdf"))),
-        lambda s: s["k"])
-    normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * uniform(2))
-    many = F.greatest(F.lit(0), F.rint(n + F.sqrt(n.cast("double")) * normal).cast("long"))
-    return F.when(n == 0, 0).when(n == 1, one).when(n <= 30, few).otherwise(many).cast("long")
+    named = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in identity])
+    digits = F.sequence(F.lit(0), F.lit(DIGITS - 1) + F.shiftright(n, 4 * DIGITS).cast("int"))
+    uniforms = F.transform(digits, lambda i: F.conv(F.left(F.md5(F.concat(named, F.lit(":"), i.cast("string"))), F.lit(13)), 16, 10).cast("double") / float(2 ** 52))
+    return F.when(n > 0, _poisson(n, uniforms)).otherwise(0).cast("long")
+
+
+def score_name(p: Column) -> Column:
+    """A score as a whole number that names it (to a billionth of a thousandth), whatever language prints it."""
+    return F.when(F.abs(p) < 1e6, F.floor(p * 1e12).cast("long")).otherwise(F.xxhash64(p))
 
 
 def bootstrap_auc(scored: DataFrame, keys: list[str], replicates: int = 200, seed: int = 0,
@@ -134,7 +161,7 @@ def bootstrap_auc(scored: DataFrame, keys: list[str], replicates: int = 200, see
     # Cells move before they multiply: one task holds a score range, and all its replicates stay there.
     cells = with_ranges(written_table(histogram(scored, keys), "histogram"), keys, [F.col("p")])
     cells = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    who = [*[F.col(k) for k in keys], F.col("p"), F.col("rep")]
+    who = [*[F.col(k) for k in keys], score_name(F.col("p")), F.col("rep")]
     drawn = cells.select(*keys, "rep", "p", RANGE, poisson_weight(F.col("pos"), *who, F.lit(1), seed=seed).alias("pos"),
                          poisson_weight(F.col("neg"), *who, F.lit(0), seed=seed).alias("neg"))
     # Empty cells weigh nothing in any resample.

@@ -388,6 +388,32 @@ hard as (
     string_agg(case_id, ';' order by r) filter (not positive) as hardest_fp from r where r <= 5 group by 1)
 select label, n as n_labeled, positives as n_pos, round(positives / n::double, 6) as prevalence, round(auc, 9) as auc, hardest_fn, hardest_fp
 from auc join hard using (label) where source = 'disc'"""
+SQL["error_table"] = f"""with {HISTOGRAM},
+r as (
+  select label, y >= 0.5 as positive, case_id,
+    row_number() over (partition by label, y >= 0.5 order by case when y >= 0.5 then p else -p end, case_id) as r
+  from scores where y is not null and source = 'disc'),
+hard as (
+  select label, string_agg(case_id, ';' order by r) filter (positive) as hardest_fn,
+    string_agg(case_id, ';' order by r) filter (not positive) as hardest_fp from r where r <= 5 group by 1),
+cells as (
+  select label, p, 1 as kind, pos::bigint as n from hist where source = 'disc' and pos > 0
+  union all select label, p, 0, neg::bigint from hist where source = 'disc' and neg > 0),
+drawn as (
+  select label, p, kind, rep, (((n >> (4 * level)) & 15) << (4 * level)) as mean,
+    cast('0x' || left(md5(concat_ws(':', '0', label, cast(floor(p * 1e12) as bigint), rep, kind, level)), 13) as bigint) / 4503599627370496.0::double as u
+  from cells, range(1, 201) a(rep), range(5) b(level) where ((n >> (4 * level)) & 15) > 0),
+means as (select distinct mean from drawn),
+wide as (select mean, unnest(range(cast(greatest(0, floor(mean - 10 * sqrt(mean) - 30)) as bigint), cast(ceil(mean + 10 * sqrt(mean) + 30) as bigint) + 1)) as k from means),
+cdf as (select mean, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) over (partition by mean order by k) as c from wide),
+weights as (select label, p, rep, kind, sum(k) as w from drawn d asof join cdf c on d.mean = c.mean and d.u <= c.c group by all),
+per_p as (select label, rep, p, coalesce(sum(w) filter (kind = 1), 0)::double as pos, coalesce(sum(w) filter (kind = 0), 0)::double as neg from weights group by all),
+won as (select label, rep, pos, neg, pos * (coalesce(sum(neg) over (partition by label, rep order by p rows between unbounded preceding and 1 preceding), 0) + neg / 2) as won from per_p),
+reps as (select label, rep, sum(won) / (sum(pos) * sum(neg)) as auc from won group by all having sum(pos) > 0 and sum(neg) > 0),
+ci as (select label, quantile_cont(auc, 0.025) as lo, quantile_cont(auc, 0.975) as hi from reps group by 1)
+select label, n as n_labeled, positives as n_pos, round(positives / n::double, 6) as prevalence, round(auc, 6) as auc,
+  round(lo, 6) as ci_low, round(hi, 6) as ci_high, hardest_fn, hardest_fp
+from auc join hard using (label) join ci using (label) where source = 'disc'"""
 SQL["scoring_losses"] = f"""with {SCORES},
 z as (
   select source, label, p as p0, y, ln(greatest(0.000001, least(0.999999, p)) / (1 - greatest(0.000001, least(0.999999, p)))) as z

@@ -297,8 +297,9 @@ def hardest_cases(spark, sf):
 
 @query
 def error_table(spark, sf):
-    """With bootstrap intervals, so without an SQL equivalent."""
-    return metrics.error_table(v.order_scores(spark, sf).filter("source = 'disc'"))
+    """Size, prevalence, AUC with its bootstrap interval and hardest cases per label."""
+    found = metrics.error_table(v.order_scores(spark, sf).filter("source = 'disc'"))
+    return found.select("label", "n_labeled", "n_pos", *[r6(c) for c in ("prevalence", "auc", "ci_low", "ci_high")], "hardest_fn", "hardest_fp")
 
 
 @query

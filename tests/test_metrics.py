@@ -83,6 +83,16 @@ def test_poisson_weights(spark):
         assert r["m"] == pytest.approx(r["n"], rel=0.06) and r["v"] == pytest.approx(r["n"], rel=0.12)
 
 
+def test_poisson_draws_of_any_size_follow_their_distribution(spark):
+    for n in (1, 3, 16, 31, 100, 4097, 70_000, 3 << 20):  # one digit, several, and above the last
+        draws = spark.range(4000).select(metrics.poisson_weight(F.lit(n).cast("long"), F.col("id"), seed=n).alias("w")).toPandas().w.to_numpy()
+        assert abs(draws.mean() - n) < 4.5 * np.sqrt(n / 4000), n
+        assert abs(draws.var() / n - 1) < .12, n
+        cumulative = lambda k, n=n: metrics._poisson_table(n)[1][int(k) - metrics._poisson_table(n)[0]]
+        middle = int(n)
+        assert abs((draws <= middle).mean() - cumulative(middle)) < .04, n
+
+
 def test_running_totals_over_hot_and_tiny_groups(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 500).alias("g"), "id",
                                   (F.col("id") % 7).alias("v"))
