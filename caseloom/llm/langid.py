@@ -23,6 +23,8 @@ UNKNOWN = "und"
 CHARS = 1 << 18  # characters worked on at a time
 ROWS = 1000  # texts scored at a time
 LANGS_HELD = 32
+FAR = 12.0  # deviations below the mean from which a text is not in its likeliest language
+LEAST_BETWEEN, LEAST_WITHIN = 0.1, 2.5  # least deviations of texts, and of a letter's log-probability
 
 
 def letters(points: np.ndarray) -> np.ndarray:
@@ -119,8 +121,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(languages, np.log(matrix).astype(np.float32), priors)
 
 
-def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """The likeliest language of each text and its posterior probability."""
+def _scored(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Likeliest language, its posterior, letters, and mean log-probability of an n-gram under it (without prior)."""
     n, k = len(texts), len(model.languages)
     total, seen = np.tile(model.priors, (n, 1)), np.zeros(n, np.int64)
     for held in chunks([t or "" for t in texts]):
@@ -130,12 +132,71 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
         for j in range(k):
             total[:, j] += np.bincount(row, weights=model.log_probs[j, bucket], minlength=n)
     known = (seen > 0) & (k > 0)
-    names, score = [UNKNOWN] * n, np.zeros(n)
+    names, score, mean = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
     if k:
         best = total.argmax(1)
         score = np.where(known, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1), 0.0)
+        mean = np.where(known, (total[np.arange(n), best] - model.priors[best]) / np.maximum(seen, 1), 0.0)
         names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
-    return names, score
+    return names, score, seen // len(ORDERS), mean
+
+
+def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The likeliest language of each text and its posterior probability."""
+    return _scored(model, texts)[:2]
+
+
+def measured(model: Model, rows: DataFrame, text: str = "text") -> Column:
+    """A struct column (lang_pred, score, letters, likeness): as `predicted`, with the number of letters and the mean
+    log-probability of an n-gram under the predicted language, which does not saturate as texts grow."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double, letters long, likeness double")
+    def measure(column: pa.Array) -> pa.Array:
+        names, rest = [], [[np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        for at in range(0, len(column), ROWS):
+            found, *numbers = _scored(shared.value, column.slice(at, ROWS).to_pylist())
+            names += found
+            for held, x in zip(rest, numbers, strict=True):
+                held.append(x)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), *[pa.array(np.concatenate(x)) for x in rest]], ["lang_pred", "score", "letters", "likeness"])
+
+    return measure(F.col(f"`{text}`").cast("string"))
+
+
+def usual(measures: DataFrame, lang: str = "lang", measure: str = "m") -> dict[str, tuple[float, float, float]]:
+    """Per language (mean, between, within) of the likeness on rows that bear the predicted language.
+
+    The variance of a text's likeness is taken as between**2 + within**2 / letters; both parts follow from the plain mean of
+    squared deviations and that weighted by letters. One row a language comes to the driver.
+    """
+    x, n = F.col(f"{measure}.likeness"), F.col(f"{measure}.letters").cast("double")
+    own = measures.filter((F.col(f"`{lang}`") == F.col(f"{measure}.lang_pred")) & (n > 0))
+    sums = own.groupBy(F.col(f"{measure}.lang_pred").alias("l")).agg(
+        F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(1 / n).alias("r"), F.sum(n * x).alias("nx"), F.sum(n * x * x).alias("nxx"),
+        F.sum(x).alias("x"), F.sum(x * x).alias("xx"))
+    out = {}
+    for r in sums.collect():
+        mean = r["nx"] / r["n"]
+        plain = r["xx"] / r["k"] - 2 * mean * r["x"] / r["k"] + mean * mean
+        weighted = max(0.0, r["nxx"] / r["n"] - mean * mean)
+        short, long = r["r"] / r["k"], r["k"] / r["n"]
+        within = (plain - weighted) / (short - long) if short > long * 1.001 else 0.0
+        within = max(within, LEAST_WITHIN ** 2)
+        out[r["l"]] = mean, max(weighted - within * long, LEAST_BETWEEN ** 2) ** 0.5, within ** 0.5
+    return out
+
+
+def is_usual(usual_of: dict[str, tuple[float, float, float]], measure: str = "m") -> Column:
+    """Whether a text is as likely in its predicted language as texts of that language are: no more than `FAR` deviations below.
+
+    Other languages, symbols among letters and random letters fall out; a text of few letters needs stronger evidence.
+    """
+    x, n, name = F.col(f"{measure}.likeness"), F.col(f"{measure}.letters").cast("double"), F.col(f"{measure}.lang_pred")
+    case = F.lit(True)
+    for lang, (mean, between, within) in usual_of.items():
+        case = F.when(name == lang, x >= mean - FAR * F.sqrt(between ** 2 + within ** 2 / n)).otherwise(case)
+    return (n > 0) & case
 
 
 def predicted(model: Model, rows: DataFrame, text: str = "text") -> Column:

@@ -14,38 +14,45 @@ from caseloom.session import written_table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5."""
+    """Documents whose toxicity score is under 0.5; null and empty texts get the score of a text without evidence."""
     labels = table(spark, sf_dir, "labels").filter(remainder(5) != 0).select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(labels, docs)
     return docs.filter(toxicity.scored(model, docs) < 0.5)
 
 
 def spoken(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose likeliest language has at least half of the probability.
+    """Documents in a learned language: its posterior is at least a half, and the text's mean log-probability under it is
+    not far below what texts of that language have.
 
-    Texts without a letter, and null ones, go. Where no row names its language there is nothing to tell languages
-    apart by, and every text with a letter stays.
+    Texts without a letter, and null ones, go; so do symbols, random letters and languages that were not learned. Where no
+    row names its language there is nothing to tell languages apart by, and every text with a letter stays. Languages are
+    learned from rows whose crc32(doc_id) mod 4 is not 2; what is usual for them, from all rows that bear their language.
     """
     model = langid.fit(docs.filter(remainder(4) != 2))
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return docs.filter(langid.predicted(model, docs)["score"] >= 0.5)
+    found = written_table(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), langid.measured(model, docs).alias("m")), "languages")
+    usual = langid.usual(found.select("doc.lang", "m"))
+    return found.filter((F.col("m.score") >= 0.5) & langid.is_usual(usual)).select("doc.*")
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that at least 10 of them have."""
+    """Documents without the lines that at least 10 of them have. A null or empty text is one empty line, and stays empty."""
     out = lines.dedup_lines(docs, min_docs=10)
     out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Texts without a word (null ones too) are linked with nothing and stay.
+    """
     return chosenpath.keep_one(docs, size=5, num=80, den=100)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in windows of 2048 tokens."""
+    """The pieces of the documents in windows of 2048 tokens. A null or empty text is its end token alone."""
     return packing.pack(docs, word_bpe())
 
 

@@ -186,6 +186,41 @@ def test_language_stage_keeps_all_prose(spark):
     assert corpus_pipeline.spoken(spark, docs, sf).count() >= 0.99 * docs.count()
 
 
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i "
+          "powinni postępować wobec innych w duchu braterstwa.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän "
+          "on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。"}
+
+
+def test_language_stage_rejects_noise_and_unlearned_languages(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    r = random.Random(1)
+    odd = [(f"{name}{k}", " ".join([text] * k)) for name, text in FOREIGN.items() for k in (1, 5)]
+    odd += [(f"symbols{i}", "".join(chr(r.choice([r.randint(33, 126), r.randint(160, 591), r.randint(0x2190, 0x23ff)])) for _ in range(300))) for i in range(40)]
+    odd += [(f"letters{i}", "".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(400))) for i in range(40)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    more = spark.createDataFrame([(10_000_000 + i, text) for i, (_, text) in enumerate(odd)], "doc_id long, text string").select(
+        F.col("doc_id").cast(kind).alias("doc_id"), "text")
+    out = corpus_pipeline.spoken(spark, docs.unionByName(more, True), sf)
+    assert out.columns == docs.columns
+    assert out.filter("doc_id >= 10000000").count() == 0
+    assert out.count() >= 0.995 * docs.count()
+
+
+def test_stages_on_empty_tables_and_empty_texts(spark, none, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, "\n"), (4, "one word")], "doc_id long, text string")
+    blank = blank.unionByName(none.limit(0), True).select(none.columns)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+        kept = {row.doc_id for row in stage(spark, blank, str(tmp_path)).collect()}
+        assert kept == ({4} if name == "language" else {1, 2, 3, 4}), name
+
+
 @pytest.mark.parametrize("s", [0.8, 0.85])
 def test_sketches_rule_out_no_pair_at_the_threshold(s):
     """The binomial tail of the equal tokens below which a pair is ruled out: the trees share the sketch, so it counts once."""
