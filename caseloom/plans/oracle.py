@@ -256,6 +256,8 @@ select plane, fluid, fatsat, count(*) as n from (
 SQL["list_cases"] = f"""with {SERIES}, {ORDERS}
 select count(*) as cases, min(case_id) as first, max(case_id) as last from (
   select case_id from listed union select case_id from orders_w)"""
+SQL["ordered_cases"] = f"""with {SERIES}, {ORDERS}, ids as (select case_id from listed union select case_id from orders_w)
+select case_id, row_number() over (order by case_id) - 1 as place from ids"""
 SQL["duplicate_ids"] = "select l_orderkey as case_id, count(*) as n from lineitem group by 1 having count(*) > 1"
 
 MERGED = f"""{ORDERS}, {PREDICTIONS},
@@ -516,6 +518,18 @@ w as (select case_id, max(case when label = 'filled' then p end) as f, max(case
 m as (select avg(f) as f, avg(u) as u from w)
 select o.case_id, round(greatest(0, least(1, coalesce(w.f, m.f, 0.5))), 9) as filled,
   round(greatest(0, least(1, coalesce(w.u, m.u, 0.5))), 9) as urgent from orders_w o left join w using (case_id), m"""
+SQL["run_summary"] = f"""with {HISTOGRAM},
+named as (select label, positives, auc, case source when 'disc' then 'model' when 'qty' then 'rules' else 'final' end as source from auc),
+means as (select avg(auc) filter (source = 'model') as model, avg(auc) filter (source = 'rules') as rules, avg(auc) filter (source = 'final') as final from named),
+picked as (
+  select label, case when max(positives) < 5 then 'rules' else arg_max(source, {{'a': auc, 'o': case source when 'model' then 0 else -1 end}}) end as source
+  from named where source <> 'final' group by 1),
+few as (select label from truth group by 1 having count(*) filter (y = 1) < 5)
+select (select count(*) from orders_w) as n_cases, (select count(*) from orders_w where filled is not null or urgent is not null) as n_labeled,
+  (select count(*) from orders_w where filled is null and urgent is null) as n_pseudo_labeled,
+  (select coalesce(string_agg(label, ',' order by label), '') from few) as rule_only,
+  (select '{{' || string_agg('"' || label || '":"' || source || '"', ',' order by label) || '}}' from picked) as chosen,
+  round(model, 6) as auc_model, round(rules, 6) as auc_rules, round(final, 6) as auc_final, round(final - rules, 6) as gain, final > rules as final_beats_rules from means"""
 SQL["result_problems"] = """
 with r as (select o_orderkey as k, o_orderkey % 101 <> 0 as present, o_orderkey % 103 = 0 as swapped, o_orderkey % 107 = 0 as bad from orders),
 f as (

@@ -19,6 +19,7 @@ from ..sources import predictions, runlog, volumes as volume_sources
 from ..streaming import ingest
 from . import study, views as v
 from .mining import MiningConfig, candidates, mine_labels
+from .mining import run_summary as run_record
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +78,29 @@ def list_cases(spark, sf):
     return ids.agg(F.count("*").alias("cases"), F.min("case_id").alias("first"), F.max("case_id").alias("last"))
 
 
+@query
+def ordered_cases(spark, sf):
+    """All distinct ids, written in order and read back in the order of files."""
+    path = f"{shared_dir(spark).rstrip('/')}/ordered/{uuid.uuid4().hex}"
+    case_sources.write_ordered(case_sources.list_cases(v.listed_series(spark, sf), v.orders(spark, sf)), path, ["case_id"])
+    return case_sources.read_in_order(spark, path)
+
+
+@query
+def run_summary(spark, sf):
+    """The closing record of a labelling run over orders, with one prediction source as the model and one as the rules."""
+    p, truth = v.order_predictions(spark, sf), v.order_truth(spark, sf)
+    scored = v.order_scores(spark, sf).withColumn("source", F.element_at(F.create_map(*[F.lit(x) for x in ("disc", "model", "qty", "rules", "tax", "final")]), F.col("source")))
+    chosen = ensemble.choose_sources(scored.filter("source <> 'final'"), ("model", "rules"), 5, "rules")
+    merged = labels.merge_labels(truth, p.filter("source = 'disc'"), v.ORDER_LABELS)
+    _, means = metrics.compare_sources(scored, ["rules", "model", "final"])
+    row = run_record(truth, merged, chosen, means, 5)
+    auc = lambda s: F.round(F.col("oof_macro_auc")[s], 6).alias(f"auc_{s}")
+    return row.select("n_cases", "n_labeled", "n_pseudo_labeled", F.array_join("rule_only_labels", ",").alias("rule_only"),
+                      F.to_json("source_per_label").alias("chosen"), auc("model"), auc("rules"), auc("final"),
+                      F.round("final_minus_rules_auc", 6).alias("gain"), "final_beats_rules")
+
+
 @query
 def duplicate_ids(spark, sf):
     return guards.duplicate_ids(v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id")), "case_id")
