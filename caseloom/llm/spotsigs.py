@@ -170,5 +170,5 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))
     sent = rows.join(F.broadcast(guests), same).groupBy("home").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), F.first("h").alias("h"))
     sent = sent.select("doc_id", "text", "h", F.col("home").alias("bucket"), F.lit(True).alias("guest"))
-    both = rows.withColumn("guest", F.lit(False)).unionByName(sent).repartition(parts, "bucket")
+    both = rows.withColumn("guest", F.lit(False)).unionByName(sent).repartitionById(parts, F.pmod("bucket", F.lit(parts)))
     return both.sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "h", "text").select("bucket", "guest", "doc_id", "text").mapInArrow(_compared, OUT)
