@@ -37,6 +37,7 @@ CHARS = 1 << 19  # symbols worked on at a time
 CHUNK_WORDS = 1 << 18  # distinct words of a chunk of documents
 CHUNK_CHARS = 1 << 23  # and its symbols
 DECODED = 100  # texts decoded at a time
+WORDS_HELD = 1 << 19  # encoded words that a task remembers
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -296,12 +297,13 @@ def _chunked(path: str, parts_of_table: int):
 
 
 def _encoded(path: str):
-    """The ids of the words of each list. Lists come by part of the word table, and a word of a part is encoded once."""
+    """The ids of the words of each list. Lists come by part of the word table, and a word of a part is encoded once, as long as
+    its words number no more than `WORDS_HELD`."""
     def run(parts):
         tok, held, now = tokenizer(path), {}, None
         for part in parts:
             for chunk, number, words in zip(*[part.column(c).to_pylist() for c in ("chunk", "part", "words")], strict=True):
-                if number != now:
+                if number != now or len(held) > WORDS_HELD:  # words beyond the bound are encoded again
                     held, now = {}, number
                 words = unpacked(words).decode().split("\n")
                 new = [w for w in words if w not in held]
@@ -377,7 +379,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     rows.mapInArrow(_chunked(path, buckets), CHUNKS).write.format("parquet").option(
         "path", f"{shared_dir(spark).rstrip('/')}/tables/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
     chunks = spark.table(name)
-    lists = chunks.filter("part is not null").select("chunk", "part", "words").repartition(buckets, "part").sortWithinPartitions("part")
+    lists = chunks.filter("part is not null").select("chunk", "part", "words").repartitionById(buckets, F.pmod("part", F.lit(buckets))).sortWithinPartitions("part")
     ids = lists.mapInArrow(_encoded(path), "home long, number int, lengths binary, ids binary")
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
