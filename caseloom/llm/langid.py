@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import release
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
@@ -159,6 +161,7 @@ def measured(model: Model, rows: DataFrame, text: str = "text") -> Column:
             names += found
             for held, x in zip(rest, numbers, strict=True):
                 held.append(x)
+        release()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), *[pa.array(np.concatenate(x)) for x in rest]], ["lang_pred", "score", "letters", "likeness"])
 
     return measure(F.col(f"`{text}`").cast("string"))

@@ -31,9 +31,10 @@ def spoken(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(remainder(4) != 2))
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = written_table(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), langid.measured(model, docs).alias("m")), "languages")
-    usual = langid.usual(found.select("doc.lang", "m"))
-    return found.filter((F.col("m.score") >= 0.5) & langid.is_usual(usual)).select("doc.*")
+    named = docs.select("lang", langid.measured(model, docs).alias("m"))
+    usual = langid.usual(named)
+    found = docs.withColumn("_m", langid.measured(model, docs))
+    return found.filter((F.col("_m.score") >= 0.5) & langid.is_usual(usual, "_m")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
