@@ -7,8 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Join skew is split at run time even where that costs one more exchange; shuffles of any size
-# start from many small partitions that adaptive execution merges.
+# Join skew is split at run time even where that costs one more exchange. The number of shuffle partitions is the
+# cluster's to set, from the size of its data; adaptive execution merges small ones.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
