@@ -245,6 +245,8 @@ SQL["known_labels"] = """
 select o_orderstatus, count(*) as cells, count(y) as known, sum(y) as positives from (
   select o_orderstatus, case when try_cast(left(o_orderpriority, 1) as double) in (0, 1)
     then try_cast(left(o_orderpriority, 1) as double) end as y from orders) group by 1"""
+SQL["loaded_cases"] = """select cast(d.doc_id as varchar) as case_id, case when d.doc_id % 11 <> 0 then coalesce(length(text), 0) else 0 end::int as n_chars,
+  quality, toxic, d.doc_id % 4 = 1 as held_out from documents d left join labels l on d.doc_id = l.doc_id"""
 SQL["labeled_cases"] = """
 select l.quality in (0, 1) is true or l.toxic in (0, 1) is true as is_labeled, count(*) as cases
 from documents d left join labels l using (doc_id) group by 1"""
@@ -318,6 +320,10 @@ votes as (select case_id, lang, rank, count(*) as n from w join (values {", ".jo
   on w.w = s.word group by all),
 best as (select case_id, lang from votes qualify row_number() over (partition by case_id order by n desc, rank) = 1)
 select coalesce(b.lang, 'unk') as lang, count(*) as reports from folded f left join best b using (case_id) group by 1"""
+SQL["bilingual_reports"] = """with b as (
+  select cast(doc_id as varchar) as case_id,
+    regexp_replace(text || chr(10) || chr(10) || case when lang <> 'en' then coalesce(reverse(text), '') else '' end, '^\\s+|\\s+$', '', 'g') as t from documents)
+select case_id, length(t)::int as n_chars, md5(t) as digest from b"""
 SQL["token_windows"] = """
 with t as (select cast(doc_id as varchar) as case_id, string_split(text, ' ') as t from documents),
 c as (select case_id, case when len(t) <= 64 then t else list_concat(t[1:48], t[len(t) - 15:len(t)]) end as t from t)
@@ -362,6 +368,10 @@ scores as (select * from cells where p is not null), {_CURVES}
 select k.source, k.label, coalesce(n, 0) as n, coalesce(positives, 0) as positives, round(auc, 6) as auc, round(ap, 6) as ap,
   round(coalesce(f1_at_half, 0), 6) as f1_at_half, round(best_f1, 6) as best_f1
 from (select distinct source, label from cells) k left join auc using (source, label)"""
+SQL["metric_report"] = f"""with {HISTOGRAM}
+select 0 as line, '# Metrics' as value union all select 1, '' union all select 2, '| source | label | n | positives | auc |'
+union all select 3, '|---|---|---|---|---|'
+union all select cast(3 + row_number() over (order by source, label) as int), printf('| %s | %s | %d | %d | %.4f |', source, label, n, positives, auc) from auc"""
 SQL["macro_auc"] = f"with {HISTOGRAM} select source, round(avg(auc), 9) as macro_auc from auc group by 1"
 SQL["label_metrics"] = f"""with {HISTOGRAM}
 select source, label, n, positives, round(auc, 6) as auc, round(ap, 6) as ap, round(f1_at_half, 6) as f1_at_half,
@@ -446,6 +456,8 @@ SQL["fold_balance"] = f"""with {ORDERS}
 select measure, 5 as folds, n as total, true as balanced from (
   select 'studies' as measure, count(*) as n from orders_w union all select 'labeled', count(*) filter (filled is not null or urgent is not null) from orders_w
   union all select 'filled', count(*) filter (filled >= 0.5) from orders_w union all select 'urgent', count(*) filter (urgent >= 0.5) from orders_w)"""
+SQL["given_folds"] = f"""with {ORDERS}
+select case_id, cast(customer % 5 as int) as fold from orders_w where filled is not null or urgent is not null"""
 SQL["leaking_groups"] = "select o_custkey as customer from orders group by 1 having count(distinct o_orderkey % 5) > 1"
 SQL["shards"] = f"""with {ORDERS}, r as (select case_id, row_number() over (order by case_id) - 1 as r from orders_w)
 select case_id from r where r % 3 = 1"""
@@ -477,6 +489,58 @@ select source, count(*) as cases, count(c.case_id) as used from seen left join c
 SQL["rank_blend"] = f"""with {RANKED}
 select case_id, label, round(sum(case source when 'disc' then 0.5 else 0.25 end * p) / 0.75, 9) as p
 from ranks where source in ('disc', 'qty') group by all having count(distinct source) = 2"""
+SQL["spec_blend"] = f"""with {RANKED}
+select case_id, label, round(sum(case source when 'disc' then 0.5 else 0.25 end * p), 9) as p
+from ranks group by all having count(distinct source) = 3"""
+
+
+def _greedy(predictions: str, sources: list[str]) -> str:
+    """Greedy selection over ranks as a recursive query: a state has the picks so far, its trials add one pick of each source."""
+    picks = ", ".join(f"c{i}" for i in range(len(sources)))
+    every = " union all ".join(f"select {i} as i" for i in range(len(sources)))
+
+    def trials(state: str) -> str:
+        terms = " + ".join(f"(c{i} + cast(i = {i} as int)) * p{i}" for i in range(len(sources)))
+        total = " + ".join(f"c{i}" for i in range(len(sources)))
+        key = f"step, {picks}, reached, i"
+        return f"""
+        select *, row_number() over (order by m desc, i) as place from (select {key}, avg(auc) as m from (
+          select {key}, label, sum(pos * (below + neg / 2.0::double)) / (sum(pos)::double * sum(neg)::double) as auc from (
+            select *, coalesce(sum(neg) over (partition by i, label order by p rows between unbounded preceding and 1 preceding), 0) as below from (
+              select {key}, label, p, sum(y)::bigint as pos, sum(1 - y)::bigint as neg from (
+                select {key}, label, y, ({terms}) / ({total} + 1) as p from {state}, ({every}), cells) group by all)) group by all) group by all)"""
+
+    grown = ", ".join(f"c{i} + cast(i = {i} as int) as c{i}" for i in range(len(sources)))
+    wide = ", ".join(f"max(p) filter (source = '{s}') as p{i}" for i, s in enumerate(sources))
+    whole = " and ".join(f"p{i} is not null" for i in range(len(sources)))
+    none_picked = ", ".join(f"0 as c{i}" for i in range(len(sources)))
+    weights = " ".join(f"when {i} then c{i}" for i in range(len(sources)))
+    names = " ".join(f"when {i} then '{s}'" for i, s in enumerate(sources))
+    total = " + ".join(f"c{i}" for i in range(len(sources)))
+    return f"""with recursive {predictions},
+cells as materialized (
+  select w.*, t.y from (select case_id, label, {wide} from ranks group by all) w join truth t using (case_id, label) where {whole} and y is not null),
+start as (select -1 as step, {none_picked}, 0.0::double as reached),
+single as materialized ({trials("start")}),
+state as (
+  select 0 as step, {grown}, m as reached from single where place = 1
+  union all
+  select step + 1, {grown}, m from ({trials("state")}) where place = 1 and m > reached + 1e-6 and step < 30),
+final as (select * from state order by step desc limit 1)
+select case s.i {names} end as model, round(m, 9) as oof_macro_auc,
+  round((select (case s.i {weights} end)::double / ({total}) from final), 9) as weight from single s
+union all select 'ENSEMBLE', round(reached, 9), 1.0 from final"""
+
+
+SQL["ensemble_weights"] = _greedy(f"{ORDERS}, {RANKED}", ["disc", "qty", "tax"])
+SQL["greedy_weights"] = _greedy(f"""{ORDERS},
+votes as (
+  select source, case_id, label, cast('0x' || left(md5(source || ':' || label || ':' || case_id), 13) as bigint) / 4503599627370496.0::double
+    + case when cast(case_id as bigint) % 3 = k and y = 1 then (k + 1) * 0.25::double else 0 end as p
+  from truth, (values ('first', 0), ('second', 1), ('third', 2)) s(source, k)),
+ranks as (
+  select source, case_id, label, (rank() over (partition by source, label order by p) + (count(*) over (partition by source, label, p) - 1) / 2.0::double)
+    / count(*) over (partition by source, label) as p from votes)""", ["first", "second", "third"])
 SQL["mean_blend"] = f"""with {PREDICTIONS}
 select case_id, label, round(sum(p) / 3.0, 9) as p from preds group by all having count(distinct source) = 3"""
 SQL["view_mean"] = f"with {PREDICTIONS} select case_id, label, round(avg(p), 9) as p from preds group by all"
@@ -697,6 +761,21 @@ one as (
     coalesce(raw, 0) as n_raw, coalesce(odd, 0) + coalesce(turned, 0) as off, coalesce(raw, 0) > 0 as fine
   from counted left join good using (label)),
 log as (select *, plane as key from one union all select *, plane || '_t1' from one where fluid = 0)"""
+SQL["listed_files"] = f"""with {INGEST}
+select cast(label // 3 as varchar) as case_id, cast(label as varchar) as series_id, count(*) as n_files from files group by all"""
+SQL["raw_frames"] = """
+with files as (
+  select label, (label = 4 or (vec_id % 17 = 3 and label not in (2, 8))) as bad, (vec_id // 20) % 19 = 7 or label = 7 as lost,
+    case when vec_id % 13 = 5 then [4, 16] when (vec_id // 20) % 23 = 9 then [16, 4] else [8, 8] end as shape,
+    (vec_id // 20) % 2 = 1 as inverted, list_transform(embedding, lambda x: x::double * 2 - 1) as values from embeddings),
+read as (
+  select *, not bad and not lost as ok, case when bad then 'JSONDecodeError' when lost then 'ValueError' end as error,
+    case when inverted then list_transform(values, lambda x: (list_max(values) - x)::float) else list_transform(values, lambda x: x::float) end as pixels from files)
+select cast(label // 3 as varchar) as case_id, cast(label as varchar) as series_id, ok, error,
+  case when ok then shape[1] else 0 end::int as h, case when ok then shape[2] else 0 end::int as w, count(*) as frames,
+  round(min(case when ok then list_min(pixels) end)::double, 6) as low, round(max(case when ok then list_max(pixels) end)::double, 6) as high,
+  round(sum(case when ok then list_sum(list_transform(pixels, lambda x: x::double)) end), 4) as total
+from read group by all"""
 SQL["ingested_series"] = f"""with {INGEST}
 select case_id, key, series_id, fluid, fatsat, n_files, n_raw as n_raw_slices, least(n_raw, 12) as n_saved_slices,
   '{{' || concat_ws(',', case when bad > 0 then '"bad_header":' || bad end, case when failed > 0 then '"decode_failed":' || failed end,

@@ -13,9 +13,10 @@ from ..functions import geometry, losses, numeric, text
 from ..operators import (ensemble, findings, folds, guards, inventory, labels, metrics, pooling, prefix, rules, series,
                          tfidf, translate, volume)
 from ..operators.heads import fit_heads, predict
+from ..schema import Columns
 from ..session import checkpoint, shared_dir
 from ..sources import cases as case_sources
-from ..sources import predictions, runlog, volumes as volume_sources
+from ..sources import files, predictions, runlog, volumes as volume_sources
 from ..streaming import ingest
 from . import study, views as v
 from .mining import MiningConfig, candidates, mine_labels
@@ -44,6 +45,21 @@ def known_labels(spark, sf):
         F.count("*").alias("cells"), F.count("y").alias("known"), F.sum("y").alias("positives"))
 
 
+@query
+def loaded_cases(spark, sf):
+    """A case table and a table of held-out ids, written, checked and read: what each says of a case."""
+    path = f"{shared_dir(spark).rstrip('/')}/cases/{uuid.uuid4().hex}"
+    truth = v.table(spark, sf, "labels").select("doc_id", *v.DOC_LABELS)
+    docs = v.table(spark, sf, "documents").select("doc_id", "text").join(truth, "doc_id", "left")
+    named = docs.select(F.col("doc_id").alias("study"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("words"), *v.DOC_LABELS)
+    named.write.parquet(f"{path}/cases")
+    case_sources.write_table(named.filter("study % 4 = 1").select("study"), f"{path}/held_out.csv")
+    cases, held_out = case_sources.load_cases(
+        spark, f"{path}/cases", Columns("study", "words", tuple(v.DOC_LABELS)), f"{path}/held_out.csv")
+    marked = cases.join(held_out.withColumn("held_out", F.lit(True)), "case_id", "left")
+    return marked.select("case_id", F.length("report").alias("n_chars"), *v.DOC_LABELS, F.coalesce("held_out", F.lit(False)).alias("held_out"))
+
+
 @query
 def labeled_cases(spark, sf):
     truth = labels.truth(v.document_cases(spark, sf), v.DOC_LABELS)
@@ -183,6 +199,14 @@ def languages(spark, sf):
     return found.groupBy("lang").agg(F.count("*").alias("reports"))
 
 
+@query
+def bilingual_reports(spark, sf):
+    """Reports followed by their English version (here the reversed text), unless they are English."""
+    docs = v.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("case_id"), "text", "lang")
+    both = docs.select("case_id", text.bilingual_text(F.col("text"), F.reverse("text"), F.col("lang")).alias("t"))
+    return both.select("case_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
+
+
 @query
 def token_windows(spark, sf):
     """Head and tail of long token arrays."""
@@ -280,6 +304,14 @@ def auc_per_label(spark, sf):
         "source", "label", "n", "positives", r6("auc", 9))
 
 
+@query
+def metric_report(spark, sf):
+    """The markdown report of the metrics, line by line."""
+    table = metrics.auc(v.order_scores(spark, sf), ["source", "label"]).select("source", "label", "n", "positives", "auc")
+    lines = case_sources.markdown(table.sort("source", "label"), "Metrics").rstrip("\n").split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line int, value string")
+
+
 @query
 def metrics_all_labels(spark, sf):
     """One source has no truth for one label, and some scores are NaN or missing: every label keeps its row."""
@@ -392,6 +424,13 @@ def fold_summary(spark, sf):
     return folds.fold_summary(v.orders(spark, sf), v.order_folds(spark, sf), v.ORDER_LABELS)
 
 
+@query
+def given_folds(spark, sf):
+    """Folds looked up for the labelled orders; each must have one."""
+    known = labels.labeled_cases(v.order_truth(spark, sf)).filter("is_labeled")
+    return folds.shared_folds(known, v.order_folds(spark, sf))
+
+
 @query
 def leaking_groups(spark, sf):
     """Customers whose orders fall into several folds when folds go by order."""
@@ -497,8 +536,25 @@ def unknown_result(spark, sf):
 
 @query
 def ensemble_weights(spark, sf):
-    """Greedy forward selection; iterative, so without an SQL equivalent."""
-    return ensemble.fit_weights(v.order_predictions(spark, sf), v.order_truth(spark, sf), v.ORDER_SOURCES)[1]
+    """Greedy forward selection; on these sources one of them alone is best."""
+    return ensemble.fit_weights(v.order_predictions(spark, sf), v.order_truth(spark, sf), v.ORDER_SOURCES)[1].select(
+        "model", r6("oof_macro_auc", 9), r6("weight", 9))
+
+
+@query
+def greedy_weights(spark, sf):
+    """The same where sources complement each other, so that several steps gain."""
+    return ensemble.fit_weights(v.order_votes(spark, sf), v.order_truth(spark, sf), ["first", "second", "third"])[1].select(
+        "model", r6("oof_macro_auc", 9), r6("weight", 9))
+
+
+@query
+def spec_blend(spark, sf):
+    """A blend by a specification that was written as JSON and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/spec/{uuid.uuid4().hex}"
+    ensemble.spec_json(spark, "rank", {"disc": 0.5, "qty": 0.25, "tax": 0.25}).write.text(path)
+    blended = ensemble.blend_groups(v.order_predictions(spark, sf), ensemble.read_spec(spark, path), v.ORDER_SOURCES)
+    return blended.select("case_id", "label", r6("p", 9))
 
 
 @query
@@ -808,6 +864,24 @@ def _ingested(spark, sf) -> study.StudyIngest:
                                 volume.PreprocessConfig(img_size=6, max_slices=12), extra_t1=True)
 
 
+@query
+def listed_files(spark, sf):
+    """How many files lie under each case and series."""
+    return files.file_counts(v.study_files(spark, sf)).select("case_id", "series_id", "n_files")
+
+
+@query
+def raw_frames(spark, sf):
+    """The same files decoded and brought to real values: what each series has, frames that fail by their error."""
+    decoded = files.decode_files(v.study_files(spark, sf), [("json", v.decode_raw_slice)])
+    real = volume.normalise_frames(decoded)
+    error = F.element_at(F.split("error", ": "), 3)
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x)
+    return real.groupBy("case_id", "series_id", "ok", error.alias("error"), "h", "w").agg(
+        F.count("*").alias("frames"), F.round(F.min(F.array_min("pixels")).cast("double"), 6).alias("low"),
+        F.round(F.max(F.array_max("pixels")).cast("double"), 6).alias("high"), F.round(F.sum(total), 4).alias("total"))
+
+
 @query
 def ingested_series(spark, sf):
     """Slice files written, read, routed, ordered, decoded and stored: the log of every routed series."""
