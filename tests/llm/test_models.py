@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,38 @@ def test_rows_are_means_of_word_means():
     assert score[0] == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-5) and score[1] == score[2] == pytest.approx(1 / (1 + math.exp(-0.25)))
 
 
+def brute_bag(text):
+    """Weights of the n-grams of a text, written out: the mean over its words of the mean over a word's n-grams."""
+    found, word = [], []
+    for c in [*text.lower(), " "]:
+        if c.isalnum():
+            word.append(ord(c))
+        elif word:
+            found.append([1, *word, 2])
+            word = []
+    out = Counter()
+    for symbols in found:
+        grams = [symbols[i:i + n] for n in (3, 4) for i in range(len(symbols) - n + 1)]
+        for gram in grams:
+            value = len(gram)
+            for x in gram:
+                value = (value * 0x100000001B3 + x) % 2 ** 64
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                value = (value ^ value >> shift) * factor % 2 ** 64
+            out[(value ^ value >> 31) % toxicity.BUCKETS] += 1 / len(grams) / len(found)
+    return out
+
+
+def test_scores_equal_a_plain_sum(monkeypatch):
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcXYZ\u00e9\u0130\u4e2d7 .-\n") for _ in range(r.randint(0, 300))) for _ in range(60)] + ["", "  ", "a", "A b", "trash " * 9000]
+    model = toxicity.Model(np.random.default_rng(2).standard_normal(toxicity.BUCKETS).astype(np.float32), -0.5)
+    want = [1 / (1 + math.exp(0.5 - sum(w * float(model.bucket[b]) for b, w in brute_bag(t).items()))) for t in texts]
+    for chars in (toxicity.CHARS, 64):
+        monkeypatch.setattr(toxicity._parts, "__defaults__", (chars,))
+        assert toxicity.score_texts(model, texts) == pytest.approx(want, rel=1e-4)
+
+
 def test_unseen_spellings_are_caught():
     texts, labels = labelled_texts(1200, 1)
     model = toxicity.train(*toxicity.rows(texts), labels, labels.mean())
@@ -153,6 +186,53 @@ def test_base_scores_and_counts(docs, none, monkeypatch, common):
     assert logbilinear.scores(none, F.lit(False), F.lit(True)).count() == 0
 
 
+def brute_scores(rows):
+    """log10 probabilities of texts, token by token, with the classes and shares written out; the table is `fit`'s."""
+    k, first, top = logbilinear.CLASSES, logbilinear.FIRST, logbilinear.TOP
+    c = Counter(w for text, train in rows if train for w in tokens(text)[:-1])
+    vocabulary = sorted({w for text, _ in rows for w in tokens(text)[:-1]})
+    hashes, sign, _ = logbilinear.words(pa.array(vocabulary))
+    sign = dict(zip(vocabulary, sign.tolist(), strict=True))
+    number = dict(zip(vocabulary, hashes.view(np.int64).tolist(), strict=True))
+    ranked = sorted(c, key=lambda w: (-c[w], number[w]))[:top]
+    rank = {w: i for i, w in enumerate(ranked)}
+    types = Counter(c.values())
+    mass = [1 * types[1] + 0.5, (2 * types[2] + 0.5) * (types[1] > 0), (3 * types[3] + 0.5) * (types[2] > 0)]
+    shared = [mass[n] / sum(mass) / max(1, types[n] if n else 1) for n in range(3)]
+    bucket = Counter()
+    for w, n in c.items():
+        if n > 2 and w not in rank:
+            bucket[sign[w]] += n
+
+    def read(text):
+        before, out = (0, 0), []
+        for w in tokens(text)[:-1]:
+            own = first + rank[w] if w in rank else first + top + sign[w]
+            is_rare = c[w] <= 2 and w not in rank
+            share = 1 if w in rank else shared[c[w]] if is_rare else c[w] / bucket[sign[w]]
+            out.append(((before[0] * k + before[1]) * k + (logbilinear.RARE if is_rare else own), share))
+            before = before[1], own
+        return [*out, ((before[0] * k + before[1]) * k + 1, 1)]
+
+    seen = Counter(cell for text, train in rows if train for cell, _ in read(text))
+    cells = np.array(sorted(seen))
+    table = logbilinear.fit(cells, np.array([seen[x] for x in cells.tolist()]))
+    return [sum(float(table[cell]) + math.log10(share) for cell, share in read(text)) for text, _ in rows]
+
+
+@pytest.mark.parametrize("common", [1 << 18, 130])
+def test_scores_equal_a_token_by_token_sum(spark, monkeypatch, common):
+    monkeypatch.setattr(logbilinear, "COMMON", common)
+    monkeypatch.setattr(logbilinear, "STEPS", 30)
+    r = random.Random(8)
+    usual = [f"{r.choice('abcdeXY')}{i}{r.choice('klm')}" for i in range(140)]
+    texts = [" ".join(r.choice(usual) if r.random() < 0.9 else f"q{int(r.expovariate(0.02))}" for _ in range(r.randint(0, 90))) for _ in range(80)]
+    rows = [(text, i % 10 > 0) for i, text in enumerate(texts)]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x.score for x in logbilinear.scores(docs, F.col("doc_id") % 10 == 0, F.col("doc_id") % 10 > 0).collect()}
+    assert [got[i] for i in range(len(rows))] == pytest.approx(brute_scores(rows), rel=1e-4)
+
+
 def test_nothing_to_learn_from(docs):
     got = logbilinear.scores(docs, F.lit(True), F.lit(False)).collect()
     assert all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in got)

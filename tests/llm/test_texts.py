@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from hypothesis import given, settings
@@ -205,6 +207,35 @@ def test_signatures_follow_their_anchors():
     assert set(same) <= set(one) and set(same) <= set(more) and not len(none_)
 
 
+def brute_spots(text):
+    """Signatures written out as tuples of words: an anchor and the two content words after it."""
+    words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    hashes = {w: int(spotsigs.word_hashes(pa.array([w]), breaks=spotsigs.MARKS)[0][0]) for w in set(words)}
+    out = set()
+    for i, w in enumerate(words):
+        content = [x for x in words[i + 1:] if x not in spotsigs.ANCHORS][:2]
+        if (w in spotsigs.ANCHORS or hashes[w] % 6 == 0) and len(content) == 2:
+            out.add((w, *content))
+    return out or {(w,) for w in words}
+
+
+def test_fingerprints_equal_sets_of_word_tuples():
+    r = random.Random(4)
+    plain = ["".join(r.choice("abcdeghkmoprsty\u00fc7") for _ in range(r.randint(2, 7))) for _ in range(150)]
+    texts = [None, "", "the", "the of and", "..."]
+    for _ in range(60):
+        words = [r.choice(spotsigs.ANCHORS).title() if r.random() < 0.3 else r.choice(plain) for _ in range(r.randint(1, 120))]
+        texts.append("".join(w + r.choice([" ", ", ", "\n", "-"]) for w in words))
+        texts.append(" ".join(words[:r.randint(1, len(words))] + r.choices(plain, k=r.randint(0, 9))))
+    want, got = [brute_spots(t) for t in texts], spotsigs.signatures(texts)
+    assert [len(x) for x in got] == [len(x) for x in want]
+    for i, x in enumerate(want):
+        for j, y in enumerate(want):
+            alike = len(x & y) / len(x | y) if x | y else 1.0
+            assert spotsigs.likeness(got[i], got[j]) == alike
+            assert spotsigs.likeness(got[i], got[j], 0.8) == (alike if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) else 0.0)
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_edited_texts(docs, none, parts):
     rows = [r for r in docs.collect()]
