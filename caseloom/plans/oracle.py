@@ -461,6 +461,13 @@ select case_id, cast(customer % 5 as int) as fold from orders_w where filled is
 SQL["leaking_groups"] = "select o_custkey as customer from orders group by 1 having count(distinct o_orderkey % 5) > 1"
 SQL["shards"] = f"""with {ORDERS}, r as (select case_id, row_number() over (order by case_id) - 1 as r from orders_w)
 select case_id from r where r % 3 = 1"""
+SQL["first_cases"] = f"with {ORDERS} select case_id from orders_w order by case_id limit 100"
+SQL["same_case_ids"] = f"""with {ORDERS}, {PREDICTIONS}, ids as (
+  select 'lines' as t, cast(l_orderkey as varchar) as case_id from lineitem union select 'orders', case_id from orders_w
+  union select source, case_id from preds),
+pairs as (select * from (values ('lines', 'disc'), ('disc', 'qty'), ('lines', 'orders')) p(a, b))
+select a || ' and ' || b as pair, not exists (
+  select 1 from ids i where i.t in (a, b) group by i.case_id having count(*) < 2) as same from pairs"""
 SQL["sampled_cases"] = f"with {ORDERS} select case_id from orders_w order by md5('7:' || case_id), case_id limit 100"
 
 # ---- ensembling ---------------------------------------------------------------------------------

@@ -444,6 +444,21 @@ def shards(spark, sf):
     return prefix.shard(v.orders(spark, sf).select("case_id"), "case_id", 1, 3)
 
 
+@query
+def first_cases(spark, sf):
+    """The first hundred orders by id."""
+    return prefix.first_cases(v.orders(spark, sf).select("case_id"), "case_id", 100)
+
+
+@query
+def same_case_ids(spark, sf):
+    """Whether tables speak of the same orders: the ones with lines, the ones that two sources scored."""
+    scored = {s: v.order_predictions(spark, sf).filter(F.col("source") == s) for s in ("disc", "qty")}
+    lines = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("case_id"))
+    pairs = {"lines and disc": (lines, scored["disc"]), "disc and qty": (scored["disc"], scored["qty"]), "lines and orders": (lines, v.orders(spark, sf))}
+    return spark.createDataFrame([(name, guards.same_ids(a, b)) for name, (a, b) in pairs.items()], "pair string, same boolean")
+
+
 @query
 def sampled_cases(spark, sf):
     return prefix.sample_cases(v.orders(spark, sf).select("case_id"), "case_id", 100, 7)
