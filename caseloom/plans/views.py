@@ -13,13 +13,15 @@ from ..functions.regex import any_of
 from ..operators.prefix import row_numbers
 from ..operators.rules import Cues, Rule, RuleBook
 from ..schema import PLANES
-from ..session import shared_dir, spread
+from ..session import partitions, shared_dir, spread
 from ..sources.files import slice_files
 
 DOC_LABELS = ["quality", "toxic"]
 ORDER_LABELS = ["filled", "urgent"]
 ORDER_SOURCES = ["disc", "qty", "tax"]
 EMBEDDING_SIDE = 8
+# One row a file; tasks move their files into place themselves, as the driver would take them one by one.
+FILE_BY_FILE = {"maxRecordsPerFile": "1", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 # Rules on the vocabulary of the documents: one label by a single pattern, one by a pattern and a companion.
 DOCUMENT_RULES = RuleBook(
@@ -195,7 +197,8 @@ def study_files(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(label / 3).cast("string").alias("case_id"), label.cast("string").alias("series_id"),
         F.when((label == 4) | ((F.pmod("vec_id", F.lit(17)) == 3) & ~label.isin(2, 8)), "corrupt").otherwise(content).alias("value"))
     root = f"{shared_dir(spark).rstrip('/')}/slices/{uuid.uuid4().hex}"
-    rows.repartition("case_id", "series_id").write.option("maxRecordsPerFile", 1).partitionBy("case_id", "series_id").text(root)
+    # A number of its own: rows are small and files are not, so merging by bytes or by series would leave few writers.
+    rows.repartition(partitions(spark)).write.options(**FILE_BY_FILE).partitionBy("case_id", "series_id").text(root)
     return slice_files(spark, root, "*.txt")
 
 

@@ -22,6 +22,10 @@ DECODED = ("case_id string, series_id string, path string, transfer_syntax strin
            "frame int, h int, w int, channels int, slope double, intercept double, inverted boolean, pixels array<float>")
 
 
+HELD_PIXELS = 1 << 20  # pixels that a decoding task hands on at a time, or more if one file has more
+HELD_FRAMES = 2_000
+
+
 def slice_files(spark: SparkSession, root: str, suffix: str = "*.dcm") -> DataFrame:
     """(case_id, series_id, file, path, length, content) of <root>/<case>/<series>/<file>; folders may be called name=value.
 
@@ -83,10 +87,12 @@ def decode_files(files: DataFrame, decoders: list[Decoder], keep: tuple[str, ...
     names = [c.split()[0] for c in DECODED.split(", ")] + list(keep)
 
     def run(batches):
+        held, pixels_held = [], 0
         for pdf in batches:
+            kept = [pdf[c].tolist() for c in keep]
             for at, (case_id, series_id, path, content) in enumerate(zip(pdf["case_id"], pdf["series_id"], pdf["path"], pdf["content"])):
                 rows = []
-                own = {c: pdf[c].iloc[at] for c in keep}
+                own = {c: values[at] for c, values in zip(keep, kept)}
                 base = {"case_id": case_id, "series_id": series_id, "path": path, "transfer_syntax": "unknown",
                         "ok": False, "error": None, "frame": 0, "h": 0, "w": 0, "channels": 1, "slope": 1.0,
                         "intercept": 0.0, "inverted": False, "pixels": None, **own}
@@ -105,7 +111,13 @@ def decode_files(files: DataFrame, decoders: list[Decoder], keep: tuple[str, ...
                                      "inverted": bool(got.get("inverted")), "pixels": frame.ravel()})
                 except Exception as exc:  # noqa: BLE001
                     rows.append({**base, "error": f"{exc.__class__.__name__}: {exc}"[:300]})
-                # A file at a time: what is held does not grow with the batch.
-                yield pd.DataFrame(rows, columns=names)
+                # Some files at a time: what is held does not grow with the batch, beyond the file that fills it.
+                held += rows
+                pixels_held += sum(1 if r["pixels"] is None else len(r["pixels"]) for r in rows)
+                if pixels_held >= HELD_PIXELS or len(held) >= HELD_FRAMES:
+                    yield pd.DataFrame(held, columns=names)
+                    held, pixels_held = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     return files.select("case_id", "series_id", "path", "content", *keep).mapInPandas(run, schema)

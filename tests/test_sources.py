@@ -1,9 +1,13 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from caseloom.operators import inventory, labels, translate
+from caseloom.plans import views
 from caseloom.schema import Columns
+from caseloom.sources import files as sources_files
 from caseloom.sources import cases, files, predictions, runlog, volumes
 from caseloom.streaming import ingest
 
@@ -130,3 +134,24 @@ def test_stream_ingestion_resumes(spark, tmp_path):
             part.coalesce(1).write.mode("append").parquet(source)
         ingest.ingest_stream(spark, source, part.schema, path, lambda d: d.withColumn("m", F.col("n") * 2), marks).awaitTermination()
         assert spark.read.parquet(path).count() == expected
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_slice_files_of_a_series_have_many_writers(spark):
+    files = views.study_files(spark, "/root/testdata/sf0.001").select("series_id", F.regexp_extract("file", r"part-(\d+)", 1).alias("task"))
+    assert files.groupBy("series_id").agg(F.count_distinct("task").alias("n")).agg(F.max("n")).first()[0] > 1
+
+
+def test_decoded_files_are_handed_on_together(spark, monkeypatch):
+    monkeypatch.setattr(sources_files, "HELD_PIXELS", 10)
+    rows = [("c", "s", f"p{i}", bytes([i])) for i in range(9)]
+    df = spark.createDataFrame(rows, "case_id string, series_id string, path string, content binary").withColumn("mark", F.length("path"))
+
+    def decode(content):
+        if content[0] == 4:
+            raise ValueError("no")
+        return {"pixels": np.full((2, 2), content[0])}
+
+    got = sources_files.decode_files(df.coalesce(1), [("d", decode)], ("mark",)).orderBy("path").collect()
+    assert [(r["path"], r["ok"], r["mark"]) for r in got] == [(f"p{i}", i != 4, 2) for i in range(9)]
+    assert [r["pixels"] for r in got] == [None if i == 4 else [float(i)] * 4 for i in range(9)]
