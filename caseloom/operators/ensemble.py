@@ -6,15 +6,19 @@ it is NULL, and the result fills it with the mean of the known ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, known
-from ..session import checkpoint, written_table
-from .metrics import auc_of_histogram, histogram
-from .prefix import running_totals
+from ..session import partitions, written_table
+from .metrics import auc_bounds, auc_of_histogram, histogram
 
 STEP_GAIN = 1e-6
+BINS = (1 << 12, 1 << 16)  # of scores, tried in turn before scores are sorted
+ROUNDING = 1e-12  # of sums and means of pairs
+FEW = 100_000  # distinct scores that every task may hold
 
 
 def rank_normalize(predictions: DataFrame) -> DataFrame:
@@ -24,11 +28,53 @@ def rank_normalize(predictions: DataFrame) -> DataFrame:
     salt = F.when(F.col("p").isNull(), F.pmod(F.xxhash64("case_id"), F.lit(1 << 16))).otherwise(0)
     cleaned = predictions.withColumn("p", known(F.col("p"))).withColumn("_salt", salt)
     ties = written_table(cleaned.filter("p is not null").groupBy(*keys, "p").agg(F.count("*").alias("n")), "scores")
-    size = ties.groupBy(*keys).agg(F.sum("n").alias("size"))
-    rank = (F.col("below") + (F.col("n") + 1) / 2) / F.col("size")
-    ranks = running_totals(ties, keys, [F.col("p")], {"below": F.col("n")}).join(size, keys).select(
-        *keys, "p", F.lit(0).alias("_salt"), rank.alias("rank"))
-    return cleaned.join(ranks, [*keys, "p", "_salt"], "left").select("source", "case_id", "label", F.col("rank").alias("p"))
+    ranks = _ranks(ties, keys).withColumn("_salt", F.lit(0))
+    if ties.count() <= FEW:  # then the predictions need not move
+        ranks = F.broadcast(ranks)
+    # The score comes first: sorting by it rarely needs to look at the names.
+    return cleaned.join(ranks, ["p", *keys, "_salt"], "left").select("source", "case_id", "label", F.col("rank").alias("p"))
+
+
+def _ranks(ties: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p, rank) of distinct scores and their counts `n`: rows go to ranges and are counted there in the order of p."""
+    ordered = ties.select(*keys, "p", "n").repartitionByRange(partitions(ties.sparkSession), *keys, "p").sortWithinPartitions("p")
+    kinds = ", ".join(f"`{k}` {ties.schema[k].dataType.simpleString()}" for k in keys)
+    counted = written_table(ordered.mapInArrow(_counted_in_order(len(keys)), f"{kinds}, p double, n long, below long, _range int"), "ranks")
+    totals = counted.groupBy(*keys, "_range").agg(F.sum("n").alias("own"))
+    group = Window.partitionBy(*keys)
+    earlier = F.coalesce(F.sum("own").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*keys, "_range", earlier.alias("earlier"), F.sum("own").over(group).alias("size"))
+    rank = (F.col("earlier") + F.col("below") + (F.col("n") + 1) / 2) / F.col("size")
+    return counted.join(F.broadcast(totals), [*keys, "_range"]).select(*keys, "p", rank.alias("rank"))
+
+
+def _counted_in_order(n_keys: int):
+    """Adds, to rows in the order of p whose first columns are keys and whose last is a count, the sum of counts before each in
+    its group and task, and the number of the task."""
+    def run(parts):
+        from pyspark import TaskContext
+
+        number, totals = TaskContext.get().partitionId(), {}
+        for part in parts:
+            if not part.num_rows:
+                continue
+            code = np.zeros(part.num_rows, np.int64)
+            for i in range(n_keys):
+                held = part.column(i).dictionary_encode(null_encoding="encode")
+                code = code * len(held.dictionary) + held.indices.to_numpy()
+            n = part.column(n_keys + 1).to_numpy()
+            below = np.empty(len(n), np.int64)
+            _, first, group = np.unique(code, return_index=True, return_inverse=True)
+            for g, at in enumerate(first.tolist()):
+                key = tuple(part.column(i)[at].as_py() for i in range(n_keys))
+                own = np.flatnonzero(group == g) if len(first) > 1 else slice(None)
+                sums = np.cumsum(n[own]) + totals.get(key, 0)
+                below[own] = sums - n[own]
+                totals[key] = int(sums[-1])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(below, pa.int64()), pa.array(np.full(len(n), number, np.int32))],
+                                             [*part.schema.names, "below", "_range"])
+
+    return run
 
 
 def common_cases(predictions: DataFrame, sources: list[str]) -> DataFrame:
@@ -94,45 +140,95 @@ def fit_weights(predictions: DataFrame, gold: DataFrame, sources: list[str], met
                 steps: int = 30) -> tuple[dict[str, float], DataFrame]:
     """Greedy forward selection with replacement on the macro AUC over known truth.
 
-    Every step scores all candidates in one job and returns one number per candidate to the driver.
+    Every step bounds the AUC of all candidates by counts in bins of the score; only candidates that the bounds do not tell
+    apart, and the scores of the table, are settled from sorted scores. The driver sees a few numbers per candidate.
     Returns the weights and a table (model, oof_macro_auc, weight) with a last row for the ensemble.
     """
     if method == "rank":
         predictions = rank_normalize(predictions.filter(F.col("source").isin(sources)))
-    cells = _one_row_per_cell(predictions, sources)
-    missing = cells.join(gold, "case_id", "left_anti").select("case_id").distinct().count()
-    if missing:
-        raise KeyError(f"{missing} predicted cases are missing from the labels")
-    cells = checkpoint(cells.join(gold.filter("y is not null"), ["case_id", "label"]))
-
-    def scores(trials: list[Column]) -> list[float]:
-        rows = F.array(*[F.struct(F.lit(i).alias("trial"), t.alias("p")) for i, t in enumerate(trials)])
-        scored = cells.select("label", "y", F.inline(rows))
-        per_label = auc_of_histogram(histogram(scored, ["trial", "label"]), ["trial", "label"])
-        found = {r["trial"]: r["m"] for r in per_label.groupBy("trial").agg(F.avg("auc").alias("m")).collect()}
-        return [found.get(i) if found.get(i) is not None else float("-inf") for i in range(len(trials))]
-
-    def mixture(counts: list[int]) -> Column:
-        picked = [F.lit(float(c)) * F.col(f"p{i}") for i, c in enumerate(counts) if c]
+    # Written once: all further steps read the cells and not what they come from.
+    labelled = gold.select("case_id", "label", "y", F.lit(True).alias("_gold"))
+    cells = written_table(_one_row_per_cell(predictions, sources).join(labelled, ["case_id", "label"], "left"), "cells")
+    alone = cells.filter("_gold is null").select("case_id")
+    if not alone.isEmpty():
+        missing = alone.join(gold, "case_id", "left_anti").distinct().count()
+        if missing:
+            raise KeyError(f"{missing} predicted cases are missing from the labels")
+    cells = cells.filter("y is not null").select("label", "y", *[f"p{i}" for i in range(len(sources))])
+    ends = cells.agg(*[f(f"p{i}").alias(f"{n}{i}") for i in range(len(sources)) for n, f in (("low", F.min), ("high", F.max))]).head()
+
+    def mixed(counts: tuple[int, ...], values: list):
+        picked = [c * v for c, v in zip(counts, values, strict=True) if c]
         total = picked[0]
         for part in picked[1:]:
             total = total + part
         return total / sum(counts)
 
-    def plus(counts: list[int], i: int) -> list[int]:
-        return [c + (j == i) for j, c in enumerate(counts)]
+    def mixture(counts: tuple[int, ...]) -> Column:
+        return mixed(counts, [F.col(f"p{i}") for i in range(len(sources))])
+
+    def scored(trials: list[tuple[int, ...]], *more) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(i).alias("trial"), mixture(t).alias("p"), *[f(t) for f in more]) for i, t in enumerate(trials)])
+        return cells.select("label", "y", F.inline(rows))
+
+    settled: dict[tuple[int, ...], float] = {}
+
+    def exact(trials: list[tuple[int, ...]]) -> list[float]:
+        new = [t for t in dict.fromkeys(trials) if t not in settled]
+        if new:
+            per_label = auc_of_histogram(histogram(scored(new), ["trial", "label"]), ["trial", "label"])
+            found = {r["trial"]: r["m"] for r in per_label.groupBy("trial").agg(F.avg("auc").alias("m")).collect()}
+            settled.update({t: found[i] if found.get(i) is not None else float("-inf") for i, t in enumerate(new)})
+        return [settled[t] for t in trials]
+
+    def bounds(trials: list[tuple[int, ...]], bins: int) -> list[tuple[float, float]]:
+        """The least and the largest value that the score of each trial can have."""
+        def place(counts: tuple[int, ...]) -> Column:
+            low, high = (mixed(counts, [ends[f"{n}{i}"] or 0.0 for i in range(len(sources))]) for n in ("low", "high"))
+            share = (mixture(counts) - low) / ((high - low) or 1.0)  # rises with the score, so bins are in its order
+            return F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * bins).cast("int").alias("bin")
+
+        found = {r["trial"]: r for r in auc_bounds(scored(trials, place), ["trial", "label"]).groupBy("trial").agg(
+            F.avg("low").alias("low"), F.avg("high").alias("high")).collect()}
+        none = float("-inf")
+        return [(settled[t],) * 2 if t in settled else (none, none) if i not in found or found[i]["low"] is None
+                else (found[i]["low"] - ROUNDING, found[i]["high"] + ROUNDING) for i, t in enumerate(trials)]
+
+    def first_best(trials: list[tuple[int, ...]]) -> int:
+        """The first of the best trials."""
+        rest = list(range(len(trials)))
+        for bins in BINS:
+            if len(rest) > 1:
+                found = bounds([trials[i] for i in rest], bins)
+                least = max(low for low, _ in found)
+                rest = [i for i, (_, high) in zip(rest, found, strict=True) if high >= least]
+        if len(rest) == 1:
+            return rest[0]
+        return rest[int(np.argmax(exact([trials[i] for i in rest])))]
+
+    def gains(trial: tuple[int, ...], old: tuple[int, ...]) -> bool:
+        for bins in BINS:
+            (low, high), (old_low, old_high) = bounds([trial, old], bins)
+            if low > old_high + STEP_GAIN:
+                return True
+            if high <= old_low + STEP_GAIN:
+                return False
+        new, reached = exact([trial, old])
+        return new > reached + STEP_GAIN
+
+    def plus(counts: tuple[int, ...], i: int) -> tuple[int, ...]:
+        return tuple(c + (j == i) for j, c in enumerate(counts))
 
     everyone = range(len(sources))
-    counts = [0] * len(sources)
-    single = scores([mixture(plus(counts, i)) for i in everyone])
-    best = max(everyone, key=lambda i: (single[i], -i))
-    counts, reached = plus(counts, best), single[best]
+    singles = [plus((0,) * len(sources), i) for i in everyone]
+    counts = singles[first_best(singles)]
     for _ in range(steps):
-        trial = scores([mixture(plus(counts, i)) for i in everyone])
-        best = max(everyone, key=lambda i: (trial[i], -i))
-        if trial[best] <= reached + STEP_GAIN:
+        trials = [plus(counts, i) for i in everyone]
+        best = trials[first_best(trials)]
+        if not gains(best, counts):
             break
-        counts, reached = plus(counts, best), trial[best]
+        counts = best
+    *single, reached = exact([*singles, counts])
     weights = {s: c / sum(counts) for s, c in zip(sources, counts)}
     rows = [(s, single[i], weights[s]) for i, s in enumerate(sources)] + [("ENSEMBLE", reached, 1.0)]
     table = predictions.sparkSession.createDataFrame(rows, "model string, oof_macro_auc double, weight double")

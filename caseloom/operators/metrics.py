@@ -61,6 +61,24 @@ def _auc_of_ranges(ranged: DataFrame, keys: list[str]) -> DataFrame:
                         F.when(both, F.col("won") / (F.col("pos").cast("double") * F.col("neg"))).alias("auc"))
 
 
+def auc_bounds(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, low, high): between which values the AUC lies, from counts in a bounded number of bins in the order of p.
+
+    `scored` has a column `bin`. Only pairs within a bin are open, and not those of a bin with a single score.
+    """
+    counted = scored.filter("y is not null and p is not null and not isnan(p)").groupBy(*keys, "bin").agg(
+        F.count_if(F.col("y") >= 0.5).alias("pos"), F.count_if(F.col("y") < 0.5).alias("neg"),
+        F.min("p").alias("first"), F.max("p").alias("last"))
+    below = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    apart, inside = F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0)), F.col("pos").cast("double") * F.col("neg")
+    one = F.col("first") == F.col("last")
+    total = counted.select(*keys, "pos", "neg", (apart + F.when(one, inside / 2).otherwise(0.0)).alias("low"),
+                           (apart + F.when(one, inside / 2).otherwise(inside)).alias("high")).groupBy(*keys).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("low").alias("low"), F.sum("high").alias("high"))
+    pairs = F.nullif(F.col("pos").cast("double") * F.col("neg"), F.lit(0.0))
+    return total.select(*keys, (F.col("low") / pairs).alias("low"), (F.col("high") / pairs).alias("high"))
+
+
 def macro_auc(per_label: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Mean over labels; labels without a defined AUC are left out."""
     return per_label.groupBy(*(keys or [])).agg(F.avg("auc").alias("macro_auc"))

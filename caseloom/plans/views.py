@@ -121,7 +121,7 @@ def order_predictions_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_votes(spark: SparkSession, sf: str) -> DataFrame:
     """Three sources that complement each other: each hears the truth in a third of the orders, one better than the other, over uniform noise."""
-    cells, sources = order_truth(spark, sf), ["first", "second", "third"]
+    cells, sources = spread(order_truth(spark, sf)), ["first", "second", "third"]
     digits = F.left(F.md5(F.concat_ws(":", "source", "label", "case_id")), F.lit(13))
     noise = F.conv(digits, 16, 10).cast("double") / float(2 ** 52)
     place = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))

@@ -119,3 +119,55 @@ def test_unknown_scores_stay_unknown(spark):
     cases = spark.createDataFrame([("a",), ("b",), ("c",), ("x",)], "case_id string")
     got = {r["case_id"]: (r["A"], r["B"]) for r in ensemble.assemble_result(cases, blended, ["A", "B"]).collect()}
     assert got == dict.fromkeys("abcx", (.4, .5))
+
+
+def test_ranks_across_batches_and_tasks_equal_pandas(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"source": rng.choice(["s", "t"], 30_000), "case_id": np.arange(30_000).astype(str), "label": rng.choice(["A", "B"], 30_000),
+                        "p": np.round(rng.random(30_000), 4)})
+    pdf["r"] = pdf.groupby(["source", "label"]).p.rank(method="average", pct=True)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = ensemble.rank_normalize(spark.createDataFrame(pdf.drop(columns="r"))).toPandas().merge(pdf, on="case_id")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(pdf) and np.allclose(got.p_x, got.r)
+
+
+def _greedy(wide, y, steps):
+    """Plain forward selection on the AUC of one label, ties to the first source."""
+    def auc(p):
+        r = pd.Series(p).rank().to_numpy()
+        n = y.sum()
+        return (r[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+    counts = [0] * len(wide)
+    score = lambda c: auc(sum(k * w for k, w in zip(c, wide) if k) / sum(c))
+    plus = lambda i: [k + (j == i) for j, k in enumerate(counts)]
+    reached = -1.0
+    for _ in range(steps + 1):
+        found = [score(plus(i)) for i in range(len(wide))]
+        best = int(np.argmax(found))
+        if found[best] <= reached + ensemble.STEP_GAIN:
+            break
+        counts, reached = plus(best), found[best]
+    return counts, reached
+
+
+@pytest.mark.parametrize("twin", [False, True])
+def test_greedy_steps_sort_no_scores_unless_counts_leave_them_open(spark, monkeypatch, twin):
+    rng = np.random.default_rng(5)
+    y = (rng.random(4000) < .4).astype(float)
+    wide = [rng.random(4000) + y * (np.arange(4000) % 3 == i) * (i + 1) / 4 for i in range(3)]
+    if twin:  # no counts tell equal sources apart
+        wide[1] = wide[2]
+    rows = [(f"s{i}", str(c), "A", float(p)) for i, w in enumerate(wide) for c, p in enumerate(w)]
+    preds = spark.createDataFrame(rows, "source string, case_id string, label string, p double")
+    truth = spark.createDataFrame([(str(c), "A", float(v)) for c, v in enumerate(y)], "case_id string, label string, y double")
+    calls, sorted_scores = [], ensemble.auc_of_histogram
+    monkeypatch.setattr(ensemble, "auc_of_histogram", lambda *a: calls.append(1) or sorted_scores(*a))
+    weights, table = ensemble.fit_weights(preds, truth, ["s0", "s1", "s2"], method="mean", steps=12)
+    counts, reached = _greedy(wide, y, 12)
+    assert weights == pytest.approx({f"s{i}": c / sum(counts) for i, c in enumerate(counts)}) and sum(counts) >= 2
+    assert {r["model"]: r["oof_macro_auc"] for r in table.collect()}["ENSEMBLE"] == pytest.approx(reached, abs=1e-12)
+    assert twin or len(calls) == 1
