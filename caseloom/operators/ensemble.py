@@ -18,6 +18,7 @@ from .metrics import auc_bounds, auc_of_histogram, histogram
 STEP_GAIN = 1e-6
 BINS = (1 << 12, 1 << 16)  # of scores, tried in turn before scores are sorted
 ROUNDING = 1e-12  # of sums and means of pairs
+BITS = 60  # sources told apart in one number
 FEW = 100_000  # distinct scores that every task may hold
 
 
@@ -105,6 +106,14 @@ def _lookup(name: Column, values: dict[str, float]) -> Column:
     return case
 
 
+def _bit(name: Column, values: list[str]) -> Column:
+    """A bit of its own for each of the values; NULL for others."""
+    case = F
+    for i, value in enumerate(values):
+        case = case.when(name == value, F.lit(1 << i).cast("long"))
+    return case
+
+
 def blend(predictions: DataFrame, weights: dict[str, float], method: str = "rank") -> DataFrame:
     """(case_id, label, p): weighted mean of (rank-normalised) predictions over the common cases.
 
@@ -115,11 +124,15 @@ def blend(predictions: DataFrame, weights: dict[str, float], method: str = "rank
     chosen = predictions.filter(F.col("source").isin(list(used)))
     if method == "rank":
         chosen = rank_normalize(chosen)
-    # One aggregate does both: a case that misses a source has fewer rows than sources.
+    # One aggregate does both: a bit a source tells whether all are there. Distinct counts would take two tables more a task.
+    groups = [list(used)[i:i + BITS] for i in range(0, len(used), BITS)]
     weighted = chosen.groupBy("case_id", "label").agg(
-        F.count_distinct("source").alias("k"), F.bool_and(known(F.col("p")).isNotNull()).alias("whole"),
+        *[F.bit_or(_bit(F.col("source"), g)).alias(f"k{i}") for i, g in enumerate(groups)],
+        F.bool_and(known(F.col("p")).isNotNull()).alias("whole"),
         F.sum(_lookup(F.col("source"), used) * F.col("p")).alias("s"))
-    return weighted.filter(F.col("k") == len(used)).select(
+    for i, g in enumerate(groups):
+        weighted = weighted.filter(F.col(f"k{i}") == (1 << len(g)) - 1)
+    return weighted.select(
         "case_id", "label", F.when(F.col("whole"), F.col("s") / sum(used.values())).alias("p"))
 
 

@@ -20,6 +20,7 @@ DOC_LABELS = ["quality", "toxic"]
 ORDER_LABELS = ["filled", "urgent"]
 ORDER_SOURCES = ["disc", "qty", "tax"]
 EMBEDDING_SIDE = 8
+LINES_A_TASK = 2_000_000
 # One row a file; tasks move their files into place themselves, as the driver would take them one by one.
 FILE_BY_FILE = {"maxRecordsPerFile": "1", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
@@ -100,11 +101,14 @@ def order_truth(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Three sources that score orders from their lines; orders without the lines a source needs are missing."""
-    per_order = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("case_id")).agg(
+    lines = table(spark, sf, "lineitem")
+    per_order = lines.groupBy(F.col("l_orderkey").cast("string").alias("case_id")).agg(
         F.count("*").alias("n"),
         F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc"),
         F.sum(F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("long"))).alias("qty"),
         F.sum(F.when(F.col("l_tax") > 0, F.round(F.col("l_tax") * 100).cast("long"))).alias("tax"))
+    if (tasks := -(-lines.count() // LINES_A_TASK)) > 1:  # few bytes a line become many rows, so merging by bytes makes large tasks
+        per_order = per_order.repartition(max(tasks, partitions(spark)), "case_id")
     scaled = {"disc": F.col("disc") / (F.col("n") * 10.0), "qty": F.col("qty") / (F.col("n") * 50.0),
               "tax": F.col("tax") / (F.col("n") * 8.0)}
     cells = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(l).alias("label"), (p if l == "filled" else 1 - p).alias("p"))

@@ -171,3 +171,12 @@ def test_greedy_steps_sort_no_scores_unless_counts_leave_them_open(spark, monkey
     assert weights == pytest.approx({f"s{i}": c / sum(counts) for i, c in enumerate(counts)}) and sum(counts) >= 2
     assert {r["model"]: r["oof_macro_auc"] for r in table.collect()}["ENSEMBLE"] == pytest.approx(reached, abs=1e-12)
     assert twin or len(calls) == 1
+
+
+def test_blend_counts_a_source_once_and_needs_no_distinct(spark):
+    preds = spark.createDataFrame([("s", "a", "A", .2), ("s", "a", "A", .2), ("t", "b", "A", .4), ("s", "b", "A", .6)],
+                                  "source string, case_id string, label string, p double")
+    out = ensemble.blend(preds, {"s": .5, "t": .5}, "mean")
+    assert [(r["case_id"], r["p"]) for r in out.collect()] == [("b", pytest.approx(.5))]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2, plan  # one table before and one after the exchange
