@@ -1,9 +1,9 @@
 """Exact order statistics of array values, by groups, without a row for each value.
 
 Distributed radix selection. A float is read as an integer of the same order; its digits of 11 bits are settled from the
-left. Each pass counts, frame by frame and inside the task, the values at every digit under the prefixes that are still
+left. Each pass counts, batch by batch and inside the task, the values at every digit under the prefixes that are still
 wanted. Counts are summed by group, and the digit that holds the wanted rank joins the prefix. What moves is a count for
-each occupied digit, at most 2,048 a frame and wanted rank, whatever the size of the frames.
+each occupied digit, at most 2,048 a batch, group and wanted rank, whatever the number and size of the frames.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..session import written_table
 
 DIGIT = 11  # bits
+FRAMES = 256  # looked at together
 
 COUNT = T.StructType([T.StructField("want", T.IntegerType()), T.StructField("digit", T.IntegerType()), T.StructField("n", T.LongType())])
 
@@ -48,7 +49,7 @@ def _rows(pixels: pa.Array) -> list[np.ndarray]:
 @F.arrow_udf(T.LongType())
 def _floor_count(pixels: pa.Array) -> pa.Array:
     """How often the least value of a frame occurs in it."""
-    bits = [ordered_bits(x) for x in _rows(pixels)]
+    bits = (ordered_bits(x) for x in _rows(pixels))
     return pa.array([int((x == x.min()).sum()) if len(x) else 0 for x in bits], pa.int64())
 
 
@@ -60,22 +61,42 @@ def extent(rows: DataFrame, group: list[str], column: str = "pixels") -> DataFra
     return each.groupBy(*group).agg(F.sum("n").alias("total"), F.min_by("floor_n", "least").alias("floor_n"))
 
 
-def _counts(shift: int, digit: int):
-    """Counts at the digit above `shift` of values under each wanted prefix (the digits settled so far)."""
-    @F.arrow_udf(T.ArrayType(COUNT))
-    def count(pixels: pa.Array, prefixes: pa.Array) -> pa.Array:
-        out = []
-        for values, wanted in zip(_rows(pixels), prefixes.to_pylist(), strict=True):
-            bits, found, seen = ordered_bits(values).astype(np.uint64), [], {}
-            for want, prefix in enumerate(wanted or []):
-                if prefix not in seen:  # ranks that share a prefix are counted once
-                    under = bits if shift + digit >= values.dtype.itemsize * 8 else bits[(bits >> np.uint64(shift + digit)) == np.uint64(prefix)]
-                    at = np.bincount(((under >> np.uint64(shift)) & np.uint64((1 << digit) - 1)).astype(np.int64))
-                    seen[prefix] = [(int(d), int(at[d])) for d in np.flatnonzero(at)]
-                found += [{"want": want, "digit": d, "n": n} for d, n in seen[prefix]]
-            out.append(found)
-        return pa.array(out, pa.list_(pa.struct([("want", pa.int32()), ("digit", pa.int32()), ("n", pa.int64())])))
-    return count
+def _counts(shift: int, digit: int, n_group: int):
+    """Counts at the digit above `shift` of values under each wanted prefix (the digits settled so far), a batch and group in
+    a row. Columns are those of the group, the frame and its prefixes, which all frames of a group share."""
+    def counted(values: np.ndarray, prefix: int) -> np.ndarray:
+        bits = ordered_bits(values)
+        if shift + digit < bits.dtype.itemsize * 8:
+            bits = bits[(bits >> bits.dtype.type(shift + digit)) == bits.dtype.type(prefix)]
+        at = ((bits >> bits.dtype.type(shift)) & bits.dtype.type((1 << digit) - 1)).astype(np.int64)
+        return np.bincount(at, minlength=1 << digit)
+
+    def run(parts):
+        for part in parts:
+            if not part.num_rows:
+                continue
+            code = np.zeros(part.num_rows, np.int64)
+            for i in range(n_group):
+                held = part.column(i).dictionary_encode(null_encoding="encode")
+                code = np.unique(code * len(held.dictionary) + held.indices.to_numpy(), return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            found = []
+            for own in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                wanted = part.column(n_group + 1)[int(own[0])].as_py() or []
+                sums = {prefix: np.zeros(1 << digit, np.int64) for prefix in wanted}  # ranks that share a prefix are counted once
+                for at in range(0, len(own), FRAMES):
+                    values = part.column(n_group).take(pa.array(own[at:at + FRAMES])).flatten().to_numpy(zero_copy_only=False)
+                    for prefix, total in sums.items():
+                        total += counted(values, prefix)
+                for want, prefix in enumerate(wanted):
+                    at = np.flatnonzero(sums[prefix])
+                    found.append((np.full(len(at), own[0]), np.full(len(at), want, np.int32), at.astype(np.int32), sums[prefix][at]))
+            row, *numbers = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([*[part.column(i).take(pa.array(row)) for i in range(n_group)],
+                                              *[pa.array(x, t) for x, t in zip(numbers, (pa.int32(), pa.int32(), pa.int64()), strict=True)]],
+                                             [*part.schema.names[:n_group], "want", "digit", "n"])
+
+    return run
 
 
 def _as_float(single: bool):
@@ -98,8 +119,8 @@ def values_at(rows: DataFrame, group: list[str], ranks: DataFrame, column: str =
     while done < bits:
         digit = min(DIGIT, bits - done)
         shift = bits - done - digit
-        counted = frames.join(state.select(*group, "prefix"), group).select(
-            *group, F.inline(_counts(shift, digit)(F.col(column), F.col("prefix"))))
+        counted = frames.join(state.select(*group, "prefix"), group).select(*group, column, "prefix").mapInArrow(
+            _counts(shift, digit, len(group)), T.StructType([*[frames.schema[g] for g in group], *COUNT]))
         counted = counted.groupBy(*group, "want", "digit").agg(F.sum("n").alias("n"))
         order = Window.partitionBy(*group, "want").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
         counted = counted.withColumn("below", F.coalesce(F.sum("n").over(order), F.lit(0)))

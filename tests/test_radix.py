@@ -49,3 +49,18 @@ def test_no_row_for_each_pixel(spark):
                                    "case_id string, series_id string, slice_idx int, h int, w int, pixels array<float>")
     plan = volume.preprocess(frames)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(pixels" not in plan and "Generate explode(pixels" not in plan
+
+
+def test_counts_are_summed_over_the_frames_of_a_batch():
+    import pyarrow as pa
+
+    from caseloom.operators import radix
+
+    frames = np.random.default_rng(0).random((1000, 8)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", None] * 500), pa.array(list(frames)), pa.array([[0, 0]] * 1000)], ["g", "pixels", "prefix"])
+    out = pa.Table.from_batches(list(radix._counts(21, 11, 1)([batch]))).to_pandas()
+    assert len(out) == len(out.drop_duplicates(["g", "want", "digit"])) and len(out) < 1000  # one a frame would be thousands
+    assert out.groupby(["g", "want"], dropna=False).n.sum().tolist() == [4000] * 4
+    want = np.bincount((radix.ordered_bits(frames[::2].ravel()) >> np.uint32(21)).astype(int))
+    own = out[(out.g == "a") & (out.want == 1)]
+    assert {int(d): int(want[d]) for d in np.flatnonzero(want)} == dict(zip(own.digit, own.n))
