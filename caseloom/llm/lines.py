@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written_table
+from .hashing import release
 
 BLANK = b" \t\n\x0b\x0c\r"
 KEYS = T.StructType([T.StructField("batch", T.IntegerType()), T.StructField("key", T.BinaryType()),
@@ -26,6 +27,7 @@ KEYS = T.StructType([T.StructField("batch", T.IntegerType()), T.StructField("key
 LINKS = T.StructType([T.StructField("text_id", T.LongType()), T.StructField("key", T.BinaryType())])
 KEPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()),
                      T.StructField("n_dropped", T.LongType())])
+ROWS = 1000  # texts split into lines at a time
 HELD = 400_000  # keys counted in a task before they are handed on
 
 
@@ -59,18 +61,20 @@ def _count_keys(batches: int):
                 if len(counts) >= HELD:
                     yield flush()
         yield flush()
+        release()
 
     return run
 
 
 def _link_keys(parts):
-    for part in parts:
+    for part in (whole.slice(at, ROWS) for whole in parts for at in range(0, whole.num_rows, ROWS)):
         ids, keys = [], []
         for text_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()), strict=True):
             found = text_keys(text.as_py())
             ids += [text_id] * len(found)
             keys += found
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["text_id", "key"])
+    release()
 
 
 class LineRuns:
@@ -166,6 +170,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, batches
 
 @F.arrow_udf(KEPT)
 def _kept(text: pa.Array, keys: pa.Array) -> pa.Array:
+    parts = [_kept_rows(text.slice(at, ROWS), keys.slice(at, ROWS)) for at in range(0, max(1, len(text)), ROWS)]
+    release()
+    return pa.concat_arrays(parts)
+
+
+def _kept_rows(text: pa.Array, keys: pa.Array) -> pa.Array:
     texts, before, dropped = [], [], []
     for value, gone in zip(text.cast(pa.binary()).to_pylist(), keys.to_pylist(), strict=True):
         lines = (value or b"").split(b"\n")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix, run_hashes
+from .hashing import mix, release, run_hashes
 
 BUCKETS = 1 << 20
 ORDERS = (3, 4)
@@ -253,6 +253,8 @@ def scored(model: Model, docs: DataFrame, text: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0), *[score_texts(shared.value, column.slice(at, ROWS).to_pylist()) for at in range(0, len(column), ROWS)]]))
+        found = [np.zeros(0), *[score_texts(shared.value, column.slice(at, ROWS).to_pylist()) for at in range(0, len(column), ROWS)]]
+        release()
+        return pa.array(np.concatenate(found))
 
     return score(F.col(f"`{text}`").cast("string"))

@@ -259,3 +259,14 @@ def test_edited_texts(docs, none, parts):
 def test_lone_document_follows_itself(spark):
     row, = spotsigs.edited_likeness(spark.createDataFrame([(1, "the cat sat on the mat again")], "doc_id long, text string")).collect()
     assert row.edited_sha256 == hashlib.sha256(b"the cat sat on" + b"the cat sat on").hexdigest() and row.near_next == 1.0
+
+
+def test_lines_are_split_a_few_texts_at_a_time():
+    import pyarrow as pa
+
+    from caseloom.llm import lines
+
+    texts = [f"line {i}\nb" for i in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500), pa.int64()), pa.array(texts)], ["text_id", "text"])
+    out = list(lines._link_keys([batch]))
+    assert max(b.num_rows for b in out) <= 2 * lines.ROWS and sum(b.num_rows for b in out) == 5000
