@@ -102,7 +102,10 @@ def bags(texts: list[str]):
 
 def rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts as sparse rows over buckets: (offsets of the texts, buckets, weights); weights of a text sum to 1."""
-    owners, buckets, weights, total = [], [], [], np.zeros(len(texts))
+    sizes, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    # A word has fewer than two n-grams a letter. Written once, never copied; what stays unwritten takes no memory.
+    most, have = 2 * sum(map(len, texts)), 0
+    buckets, weights = np.empty(most, np.int32), np.empty(most, np.float32)
     for text, word, bucket, owner, n in bags(texts):
         total += np.bincount(text, minlength=len(texts))
         own = np.bincount(owner, minlength=n)
@@ -110,16 +113,17 @@ def rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(owner, kind="stable")
         pair, times = np.unique(text * n + word, return_counts=True)
         w = pair % n
-        sizes = own[w]
-        at = order[np.arange(sizes.sum()) + np.repeat(starts[w] - np.cumsum(sizes) + sizes, sizes)]
-        key, place = np.unique(np.repeat(pair // n, sizes) * BUCKETS + bucket[at], return_inverse=True)
-        owners.append((key // BUCKETS).astype(np.int32))
-        buckets.append((key % BUCKETS).astype(np.int32))
-        weights.append(np.bincount(place, weights=np.repeat(times / np.maximum(1, own[w]), sizes), minlength=len(key)).astype(np.float32))
-    if not owners:
-        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
-    text = np.concatenate(owners)
-    return np.searchsorted(text, np.arange(len(texts) + 1)), np.concatenate(buckets), np.concatenate(weights) / total.astype(np.float32)[text]
+        grams = own[w]
+        at = order[np.arange(grams.sum()) + np.repeat(starts[w] - np.cumsum(grams) + grams, grams)]
+        key, place = np.unique(np.repeat(pair // n, grams) * BUCKETS + bucket[at], return_inverse=True)
+        sizes += np.bincount(key // BUCKETS, minlength=len(texts))
+        buckets[have:have + len(key)] = key % BUCKETS
+        weights[have:have + len(key)] = np.bincount(place, weights=np.repeat(times / np.maximum(1, own[w]), grams), minlength=len(key))
+        have += len(key)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    for i, words in enumerate(total.astype(np.float32)):
+        weights[offsets[i]:offsets[i + 1]] /= max(words, np.float32(1))
+    return offsets, buckets[:have], weights[:have]
 
 
 @dataclass
@@ -138,23 +142,33 @@ def train(offsets: np.ndarray, bucket: np.ndarray, weight: np.ndarray, label: np
     if not n or label.min() == label.max():
         return Model(np.zeros(BUCKETS, np.float32), _log_odds(prior))
     rng = np.random.default_rng(seed)
-    own = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
-    known = np.bincount(bucket, minlength=BUCKETS) >= LEAST_ROWS
-    own, weight, bucket = own[known[bucket]], weight[known[bucket]], bucket[known[bucket]]
-    offsets = np.searchsorted(own, np.arange(n + 1))
+    times = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(bucket), CHARS):
+        times += np.bincount(bucket[at:at + CHARS], minlength=BUCKETS)
+    known = times >= LEAST_ROWS
+    number = np.where(known, np.cumsum(known) - 1, -1).astype(np.int32)
+    del times
+
+    def taken(batch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows: (place in the batch, number of the bucket, weight) of each entry of a known bucket."""
+        sizes = offsets[batch + 1] - offsets[batch]
+        at = np.arange(sizes.sum()) + np.repeat(offsets[batch] - np.cumsum(sizes) + sizes, sizes)
+        b, row = number[bucket[at]], np.repeat(np.arange(len(batch)), sizes)
+        use = b >= 0
+        return row[use], b[use], weight[at[use]]
+
     fitted = rng.permutation(n) % 5 > 0
     if len(set(label[fitted])) < 2:
         fitted[:] = True
-    vectors, out, bias = _start(own, bucket, weight, label, known, fitted, rng)
-    seen = np.full(BUCKETS, 1e-6, np.float32)
+    vectors, out, bias = _start(taken, label, known, fitted, rng)
+    seen = np.full(len(vectors), 1e-6, np.float32)
     balance = np.where(label == 1, 0.5 / (label[fitted] == 1).mean(), 0.5 / (label[fitted] == 0).mean())
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         order = rng.permutation(np.flatnonzero(fitted))
         for batch in np.array_split(order, max(1, len(order) // BATCH)):
-            sizes = offsets[batch + 1] - offsets[batch]
-            at = np.arange(sizes.sum()) + np.repeat(offsets[batch] - np.cumsum(sizes) + sizes, sizes)
-            b, w, row = bucket[at], weight[at] * SCALE, np.repeat(np.arange(len(batch)), sizes)
+            row, b, w = taken(batch)
+            w *= SCALE
             picked = vectors[b]
             hidden = np.stack([np.bincount(row, weights=picked[:, d] * w, minlength=len(batch)) for d in range(DIM)], 1)
             logit = hidden @ out + bias
@@ -170,23 +184,45 @@ def train(offsets: np.ndarray, bucket: np.ndarray, weight: np.ndarray, label: np
             out -= 0.02 * rate * (hidden.T @ error) / len(batch) / max(1.0, np.abs(hidden).max())
             bias -= 0.05 * rate * error.sum(0)
     values = vectors @ (out[:, 1] - out[:, 0]) * SCALE
-    score = np.bincount(own, weights=weight * values[bucket], minlength=n) + bias[1] - bias[0]
+    score = _sums(taken, values, n) + bias[1] - bias[0]
     slope, shift = _calibrated(score[~fitted], label[~fitted], prior)
-    return Model((values * slope).astype(np.float32), float((bias[1] - bias[0]) * slope + shift))
+    table = np.zeros(BUCKETS, np.float32)
+    table[known] = values * slope
+    return Model(table, float((bias[1] - bias[0]) * slope + shift))
+
+
+def _batches(n: int):
+    return (np.arange(at, min(n, at + BATCH)) for at in range(0, n, BATCH))
+
+
+def _sums(taken, values: np.ndarray, n: int) -> np.ndarray:
+    """Of each row, the values of its buckets by weight."""
+    found = [np.zeros(0)]
+    for batch in _batches(n):
+        row, b, w = taken(batch)
+        found.append(np.bincount(row, weights=w * values[b], minlength=len(batch)))
+    return np.concatenate(found)
 
 
-def _start(own, bucket, weight, label, known, fitted, rng):
-    """First embeddings, softmax weights and bias."""
-    n, use = len(label), fitted[own]
+def _start(taken, label, known, fitted, rng):
+    """First embeddings of the known buckets, softmax weights and bias."""
+    n, size = len(label), int(known.sum())
     rows_of = [max(1, int((label[fitted] == y).sum())) for y in (0, 1)]
-    share = [np.bincount(bucket[use & (label[own] == y)], minlength=BUCKETS) / rows_of[y] for y in (0, 1)]
+    share = np.zeros((2, size))
+    for batch in _batches(n):
+        row, b, _ = taken(batch)
+        for y in (0, 1):
+            np.add.at(share[y], b[(fitted[batch] & (label[batch] == y))[row]], 1)
+    share /= np.array(rows_of)[:, None]
     few = 0.5 / min(rows_of)
-    ratio = np.log((share[1] + few) / (share[0] + few)) * known
-    vectors = (rng.standard_normal((BUCKETS, DIM)) * 0.01 * known[:, None]).astype(np.float32)
+    ratio = np.log((share[1] + few) / (share[0] + few))
+    # All buckets draw, so that a bucket's vector does not depend on which others are known.
+    drawn = (rng.standard_normal((CHARS, DIM))[known[at:at + CHARS]] for at in range(0, BUCKETS, CHARS))
+    vectors = np.concatenate([(x * 0.01).astype(np.float32) for x in drawn])
     vectors[:, 0] = ratio
     out = rng.standard_normal((DIM, 2)) * 0.3
     out[0] = (-0.5, 0.5)
-    first = np.bincount(own, weights=weight * ratio[bucket], minlength=n) * SCALE
+    first = _sums(taken, ratio, n) * SCALE
     middle = (first[fitted & (label == 1)].mean() + first[fitted & (label == 0)].mean()) / 2
     return vectors, out, np.array([middle / 2, -middle / 2])
 
@@ -243,8 +279,16 @@ def fit(rows_labelled: DataFrame, docs: DataFrame) -> Model:
     """
     labelled, chosen = sample(rows_labelled, docs)
     prior = labelled.agg(F.avg(F.col("label").cast("double"))).first()[0]
-    got = chosen.select("text", "label").toPandas()
-    return train(*rows(got["text"].tolist()), got["label"].to_numpy(np.int64), 0.0 if prior is None else prior)
+    got = chosen.select("text", "label").toArrow()
+    label, texts = np.array(got["label"].to_pylist(), np.int64), got["text"].to_pylist()
+    del got
+    held = rows(texts)
+    del texts
+    release()  # the driver needs neither texts nor tables of hashes while it trains, and nothing but the model afterwards
+    model = train(*held, label, 0.0 if prior is None else prior)
+    del held
+    release()
+    return model
 
 
 def scored(model: Model, docs: DataFrame, text: str = "text") -> Column:

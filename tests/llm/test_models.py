@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -145,6 +146,38 @@ def test_unseen_spellings_are_caught():
     assert odd.min() > 0.5
 
 
+def traced_peak(call):
+    """MB of Python and NumPy memory that a call takes at most beyond what was there."""
+    tracemalloc.start()
+    try:
+        call()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def sparse_rows(n, size, seed=3):
+    """Rows of `size` entries over 5,000 buckets, and labels."""
+    r = np.random.default_rng(seed)
+    return np.arange(n + 1) * size, r.integers(0, 5000, n * size).astype(np.int32) * 200, np.full(n * size, 1 / size, np.float32), np.arange(n) % 3 // 2
+
+
+def test_the_fit_holds_no_copy_of_its_rows():
+    few, many = sparse_rows(200, 500), sparse_rows(2000, 500)
+    small, large = (traced_peak(lambda x=x: toxicity.train(*x, 0.3)) for x in (few, many))
+    assert small < 64 and large < small + 2, (small, large)
+
+
+def test_fit_equals_the_rows_of_its_texts(spark):
+    texts, labels = labelled_texts(120, 7)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, label int")
+    got = toxicity.sample(marks, docs)[1].collect()
+    want = toxicity.train(*toxicity.rows([r.text for r in got]), np.array([r.label for r in got]), labels.mean())
+    model = toxicity.fit(marks, docs)
+    assert np.array_equal(model.bucket, want.bucket) and model.bias == want.bias
+
+
 def test_one_label_or_none(spark, docs, none):
     labels = spark.createDataFrame([(1, 0), (2, 0), (None, 1), (4, None)], "doc_id long, label int")
     model = toxicity.fit(labels, docs)
